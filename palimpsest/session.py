@@ -40,3 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most_rows` rows.
+
+    Above that it comes back as it is, and the join that it enters shuffles.
+    The rows of `df` must be narrow: their number is the bound.
+    """
+    return df.hint("broadcast") if df.count() <= most_rows else df
