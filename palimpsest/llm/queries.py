@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.graph_weights import weigh_hits
+from palimpsest.llm.keyword_pages import keyword_pages, scored
+from palimpsest.llm.leakage import leaked, without_leaks
 from palimpsest.llm.lookalikes import alike_pairs, merged_entries
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces
@@ -181,3 +183,40 @@ def p7_room(spark: SparkSession, folder: str) -> DataFrame:
     """Per run: the queues that packing takes and the fewest that could do."""
     need = containers_needed(limited_paths(spark, folder), ["run_id"], "path_id", "paths_size", "run_limit")
     return need.withColumn("at_least", F.greatest(F.ceil(F.col("total") / F.col("capacity")), F.lit(1)))
+
+
+# ---- 8 and 10: documents
+
+
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    documents, items = read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items")
+    return leaked(documents, "doc_id", "text", items, "item_id", "text")
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(spark, folder).select("doc_id", "item_id")
+
+
+@query()
+def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per item: the documents that hold it and its longest verbatim match."""
+    found = leaks(spark, folder)
+    return found.groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.max("longest").alias("longest"))
+
+
+@query()
+def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select("doc_id", "source")
+    return without_leaks(documents, "doc_id", leaks(spark, folder))
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword_pages(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def p10_page_shares(spark: SparkSession, folder: str) -> DataFrame:
+    shares = scored(read_table(spark, folder, "documents"), "doc_id", "text")
+    return shares.select("doc_id", F.round("abnormal", 6).alias("abnormal"), F.round("keywords", 6).alias("keywords"))
