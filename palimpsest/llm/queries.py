@@ -9,6 +9,7 @@ from palimpsest.llm.graph_weights import weigh_hits
 from palimpsest.llm.keyword_pages import keyword_pages, scored
 from palimpsest.llm.leakage import leaked, without_leaks
 from palimpsest.llm.lookalikes import alike_pairs, merged_entries
+from palimpsest.llm.mixing import mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
@@ -220,3 +221,16 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_page_shares(spark: SparkSession, folder: str) -> DataFrame:
     shares = scored(read_table(spark, folder, "documents"), "doc_id", "text")
     return shares.select("doc_id", F.round("abnormal", 6).alias("abnormal"), F.round("keywords", 6).alias("keywords"))
+
+
+# ---- 9: mixing
+
+
+@query()
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), "doc_id", "source", "text")
+
+
+@query()
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(p9_mixture(spark, folder), read_table(spark, folder, "mix_targets"))
