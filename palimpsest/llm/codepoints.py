@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +86,22 @@ def replacements(rule: Callable[[int], Sequence[int]], below: int = 0x323B0) ->
         if len(parts) != 1 or parts[0] != code:
             found[code] = parts
     return found
+
+
+def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) in stretches of at most about `most_bytes` of text, or of one row.
+
+    The arrays that a stretch takes stay small, and in the cache.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return
+    wide = pa.types.is_large_string(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(ends, int(ends[first]) + most_bytes, side="right")) - 1
+        last = min(max(last, first + 1), len(column))
+        yield first, column.slice(first, last - first)
+        first = last

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.codepoints import LIMIT, CharTable, keep, replacements, row_heads, to_codes, to_text
+from palimpsest.llm.codepoints import LIMIT, CharTable, keep, replacements, row_heads, slices, to_codes, to_text
 
 #: Letters of other scripts, and rare Latin ones, with the Latin letter that they look like.
 LOOKALIKE = dict(zip(
@@ -127,6 +127,11 @@ def _composed(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def one_form_array(column: pa.Array) -> pa.Array:
+    parts = [_one_form_of(part) for _, part in slices(column)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _one_form_of(column: pa.Array) -> pa.Array:
     codes, offsets, valid = to_codes(column)
     table, order, _, _ = tables()
     codes, offsets = table.apply(codes, offsets)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.llm.codepoints import CharTable, replacements, row_heads, to_codes
+from palimpsest.llm.codepoints import CharTable, replacements, row_heads, slices, to_codes
 from palimpsest.llm.lookalikes import shown
 
 SEPARATOR = 0x20
@@ -56,6 +56,15 @@ def _powers() -> np.ndarray:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, row of each word), in text order."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, part in slices(column):
+        h, r = _word_hashes(part)
+        hashes.append(h)
+        rows.append(r + first)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, offsets, _ = to_codes(column)
     codes, offsets = folding().apply(codes, offsets)
     inside = codes != SEPARATOR
