@@ -17,7 +17,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +56,8 @@ def key_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts:
 
 
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 0
+    """One state per range partition: its first and its last key, with their rows and weights."""
+    n = part = 0
     first = last = None
     first_n = first_w = last_n = last_w = 0
     one = True
@@ -66,6 +66,7 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = batch.column(0).to_numpy(zero_copy_only=False)
         weight = batch.column(1).to_numpy(zero_copy_only=False)
+        part = batch.column(2)[0].as_py()
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         ends = np.append(cuts, len(key))
         sums = np.concatenate(([0], np.cumsum(weight)))
@@ -84,7 +85,6 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last_w += int(sums[-1])
         n += len(key)
     if n:
-        part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pylist(
             [dict(part=part, n=n, first_key=int(first), first_n=first_n, first_w=first_w,
                   last_key=int(last), last_n=last_n, last_w=last_w, one_key=one)],
@@ -122,19 +122,24 @@ def with_prefix(
     """
     own = [c for c in df.columns if c not in ("rank", "before")]
     slim = df.select(
-        F.xxhash64(*[F.col(c) for c in keys]).alias("__key"),
+        F.xxhash64(F.lit(0), *[F.col(c) for c in keys]).alias("__key"),
         F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("__w") if weight else F.lit(1).cast("long").alias("__w"),
         *own,
     )
-    ranged = checkpointed(spread(slim, keys, order, parts))
-    carry = _carried(ranged.select("__key", "__w").mapInArrow(_states, _STATE).collect())
+    # the number of a range partition is kept as a column: a task's own number is another one inside a union
+    numbered = spread(slim, keys, order, parts).select("__key", "__w", F.spark_partition_id().alias("__part"), *own)
+    ranged = checkpointed(numbered)
+    carry = _carried(ranged.select("__key", "__w", "__part").mapInArrow(_states, _STATE).collect())
     schema = T.StructType([*df.select(*own).schema.fields, T.StructField("rank", T.LongType()), T.StructField("before", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n, w = carry.get(TaskContext.get().partitionId(), (None, 0, 0))
+        part, last, n, w = None, None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if part is None:
+                part = batch.column(2)[0].as_py()
+                last, n, w = carry.get(part, (None, 0, 0))
             key = batch.column(0).to_numpy(zero_copy_only=False)
             weights = batch.column(1).to_numpy(zero_copy_only=False)
             sums = np.concatenate(([0], np.cumsum(weights)))
@@ -147,7 +152,7 @@ def with_prefix(
                 before[: lengths[0]] += w
             last, n, w = key[-1], int(rank[-1]) + 1, int(before[-1] + weights[-1])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(rank, pa.int64()), pa.array(before, pa.int64())],
+                [*batch.columns[3:], pa.array(rank, pa.int64()), pa.array(before, pa.int64())],
                 names=[*own, "rank", "before"],
             )
 
