@@ -15,9 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their base letters.
-ACCENTED = "äÄåÅàÀáÁâÂãÃöÖòÒóÓôÔõÕéÉèÈêÊëËüÜùÙúÚûÛìÌíÍîÎïÏñÑýÝÿŸçÇß"
-BASE = "aaaaaaaaaaaaaooooooooooeeeeeeeeuuuuuuuuiiiiiiiinnyyyyccs"
+#: Base letters and the accented letters that fold to them.
+FOLDED = {
+    "a": "äÄåÅàÀáÁâÂãÃ",
+    "o": "öÖòÒóÓôÔõÕ",
+    "e": "éÉèÈêÊëË",
+    "u": "üÜùÙúÚûÛ",
+    "i": "ìÌíÍîÎïÏ",
+    "n": "ñÑ",
+    "y": "ýÝÿŸ",
+    "c": "çÇ",
+    "s": "ß",
+}
+ACCENTED = "".join(FOLDED.values())
+BASE = "".join(base * len(accented) for base, accented in FOLDED.items())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Byte (as a Latin-1 character) to letter: capitals, and the last byte of each accented letter.

@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.operators.incremental import FileStore
 from palimpsest.schemas import PATHS, POSTINGS
@@ -39,7 +40,9 @@ class IndexStore:
         segments = self.manifest()["segments"]
         if not segments:
             return self.spark.createDataFrame([], POSTINGS)
-        return self.spark.read.schema(POSTINGS).parquet(*[f"{self.files.root}/{s}" for s in segments]).select(*POSTINGS.names)
+        parted = T.StructType([*POSTINGS.fields, T.StructField("segment", T.LongType())])
+        reader = self.spark.read.schema(parted).option("basePath", f"{self.files.root}/postings")
+        return reader.parquet(*[f"{self.files.root}/{s}" for s in segments]).select(*POSTINGS.names)
 
     def paths(self) -> DataFrame:
         name = self.manifest()["paths"]
@@ -59,7 +62,7 @@ class IndexStore:
         """Adds a segment (or, replacing, makes it the only one) and the new path table."""
         old = self.manifest()
         version = old["version"] + 1
-        segment, table = f"postings-{version:06d}", f"paths-{version:06d}"
+        segment, table = f"postings/segment={version}", f"paths/version={version}"
         paths.select(*PATHS.names).write.mode("overwrite").parquet(f"{self.files.root}/{table}")
         self.write_segment(postings.select(*POSTINGS.names), segment)
         written = self.spark.read.schema(PATHS).parquet(f"{self.files.root}/{table}")
@@ -79,7 +82,7 @@ class IndexStore:
         """Deletes folders that neither the manifest nor `keep` names: leftovers of broken runs and older versions."""
         m = self.manifest()
         named = {*m["segments"], m["paths"], *keep}
-        gone = [x for x in self.files.names() if x.startswith(("postings-", "paths-")) and x not in named]
+        gone = [f"{kind}/{x}" for kind in ("paths", "postings") for x in self.files.names(kind) if f"{kind}/{x}" not in named]
         for x in gone:
             self.files.delete(x)
         return gone
@@ -91,7 +94,7 @@ class IndexStore:
     def compact(self) -> dict:
         """All segments as one."""
         m = self.manifest()
-        name = f"postings-{m['version'] + 1:06d}"
+        name = f"postings/segment={m['version'] + 1}"
         self.write_segment(self.postings(), name)
         new = m | {"version": m["version"] + 1, "segments": [name]}
         self.files.write_json("MANIFEST.json", new)
