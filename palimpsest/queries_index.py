@@ -20,7 +20,7 @@ from palimpsest.operators.postings import (
 )
 from palimpsest.plans.boolean import ranked, relational, search
 from palimpsest.plans.query import SearchConfig
-from palimpsest.session import read_table
+from palimpsest.session import read_spread, read_table
 from palimpsest.sources.files import wanted
 
 QUERIES: dict = {}
@@ -53,11 +53,11 @@ POSTINGS = f"WITH {DOC_WORDS}, p AS (SELECT left(word, 1) AS letter, word, doc_i
 
 
 def doc_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return text_postings(read_table(spark, folder, "documents"), "doc_id", "text")
+    return text_postings(documents(spark, folder), "doc_id", "text")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents").select("doc_id", "text")
+    return read_spread(spark, folder, "documents").select("doc_id", "text")
 
 
 # ---- tokens and dictionary

@@ -49,3 +49,13 @@ def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     The rows of `df` must be narrow: their number is the bound.
     """
     return df.hint("broadcast") if df.count() <= most_rows else df
+
+
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table, redistributed where its files give work to less than half of the cores.
+
+    A large table has more splits than that and is left as it is read.
+    """
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
