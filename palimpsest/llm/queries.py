@@ -13,7 +13,7 @@ from palimpsest.llm.mixing import mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
-from palimpsest.session import read_table, sized_broadcast
+from palimpsest.session import read_spread, read_table, sized_broadcast
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -190,7 +190,7 @@ def p7_room(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
-    documents, items = read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items")
+    documents, items = read_spread(spark, folder, "documents"), read_table(spark, folder, "eval_items")
     return leaked(documents, "doc_id", "text", items, "item_id", "text")
 
 
@@ -214,12 +214,12 @@ def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_pages(read_table(spark, folder, "documents"), "doc_id", "text")
+    return keyword_pages(read_spread(spark, folder, "documents"), "doc_id", "text")
 
 
 @query()
 def p10_page_shares(spark: SparkSession, folder: str) -> DataFrame:
-    shares = scored(read_table(spark, folder, "documents"), "doc_id", "text")
+    shares = scored(read_spread(spark, folder, "documents"), "doc_id", "text")
     return shares.select("doc_id", F.round("abnormal", 6).alias("abnormal"), F.round("keywords", 6).alias("keywords"))
 
 
@@ -228,7 +228,7 @@ def p10_page_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), "doc_id", "source", "text")
+    return mixture(read_spread(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), "doc_id", "source", "text")
 
 
 @query()
