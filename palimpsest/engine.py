@@ -14,7 +14,7 @@ from palimpsest.operators.merge import numbered_paths, pairs, unknown_pairs, wit
 from palimpsest.operators.postings import corpus_counters, tokenized_files
 from palimpsest.plans.boolean import ranked, search
 from palimpsest.plans.query import SearchConfig
-from palimpsest.session import checkpointed
+from palimpsest.session import checkpointed, sized_broadcast
 from palimpsest.sources.config import EngineConfig
 from palimpsest.sources.files import list_tree, read_files, wanted
 from palimpsest.store.lock import IndexLock
@@ -43,25 +43,34 @@ class Engine:
             listing = wanted(list_tree(self.spark, path or self.config.path_to_scan), None if full else self.store.last_updated())
             return self.take_in(read_files(listing), started, mode)
 
-    def take_in(self, documents: DataFrame, started: dt.datetime, mode: str = "additive") -> dict:
-        """Merges documents (path, mtime, length, content) into the index and commits."""
+    def take_in(self, documents: DataFrame, started: dt.datetime, mode: str = "additive", streams: dict[str, int] | None = None) -> dict:
+        """Merges documents (path, mtime, length, content) into the index and commits.
+
+        `streams`: last batches of streams, recorded by the same commit.
+        """
         if mode not in ("additive", "replace"):
             raise ValueError(f"mode: {mode}")
-        tokenized = checkpointed(tokenized_files(documents.where(F.col("path").isNotNull()).dropDuplicates(["path"]), self.tokenizer))
+        # content is cut down to words before anything is shuffled
+        tokenized = checkpointed(tokenized_files(documents.where(F.col("path").isNotNull()), self.tokenizer).dropDuplicates(["path"]))
         counters = corpus_counters(tokenized, "length").first()
         log.info("read %s files, %s bytes", counters["n_files"], counters["n_bytes"])
         if not counters["n_files"]:
             old = self.store.manifest()
-            new = old | {"last_updated": started.isoformat()}
+            new = old | {"last_updated": started.isoformat(), "streams": old.get("streams", {}) | (streams or {})}
             self.store.files.write_json("MANIFEST.json", new)
             return new
         fresh = tokenized.select("path", F.size("words").cast("long").alias("word_count"), "mtime")
-        paths = checkpointed(numbered_paths(self.store.paths(), fresh))
+        before = self.store.paths()
+        known = checkpointed(before.join(fresh.select("path"), "path", "left_semi").select("path_id"))
+        paths = checkpointed(numbered_paths(before, fresh))
         new, old = pairs(tokenized, paths), self.store.postings()
         if mode == "replace":
-            read = paths.join(fresh.select("path"), "path", "left_semi")
-            return self.store.commit(without_paths(old, read).unionByName(new), paths, started, replace=True)
-        return self.store.commit(unknown_pairs(new, old), paths, started)
+            return self.store.commit(without_paths(old, known).unionByName(new), paths, started, replace=True, streams=streams)
+        if not known.isEmpty():
+            # only paths that are read again can have postings already
+            held = old.join(sized_broadcast(known, 1_000_000), "path_id", "left_semi")
+            new = unknown_pairs(new, held)
+        return self.store.commit(new, paths, started, streams=streams)
 
     def search(self, text: str, limit: int | None = None) -> DataFrame:
         """(rank, path_id, path, count) of the paths that the query finds."""

@@ -27,9 +27,14 @@ def numbered_paths(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def pairs(tokenized: DataFrame, paths: DataFrame) -> DataFrame:
-    """POSTINGS of (path, words) rows."""
-    flat = tokenized.select("path", F.explode("words").alias("word"))
-    return flat.join(paths.select("path", "path_id"), "path").select(first_letter(F.col("word")).alias("letter"), "word", "path_id").distinct()
+    """POSTINGS of (path, words) rows, each path once and its words distinct.
+
+    Ids are joined while a path is still one row, so that no path travels with
+    every word.
+    """
+    rows = tokenized.select("path", "words").join(paths.select("path", "path_id"), "path")
+    flat = rows.select("path_id", F.explode("words").alias("word"))
+    return flat.select(first_letter(F.col("word")).alias("letter"), "word", "path_id")
 
 
 def unknown_pairs(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from palimpsest.operators.heavy_keys import with_prefix
 from palimpsest.plans.query import Group, Query, SearchConfig, Term, parse
 from palimpsest.schemas import RESULT
 
+ONE_TASK = 200_000  # results that one task may number
 MOST_COLUMNS = 100  # terms counted in columns of their own; beyond, the terms are joined
 
 
@@ -108,14 +111,19 @@ def ranked(found: DataFrame, paths: DataFrame, limit: int | None = None) -> Data
     """(rank, path_id, path, count): best first, from 0; equal counts in order of path_id.
 
     A path id without a path has an empty one. With a limit only that many
-    rows are numbered; without, the ranks come from stitched partitions.
+    rows are numbered. Up to ONE_TASK rows are numbered in one task; the ranks
+    of more come from stitched partitions.
     """
-    from palimpsest.operators.heavy_keys import with_prefix
-
     found = found.select("path_id", "count")
     if limit is not None:
         found = found.orderBy(F.desc("count"), "path_id").limit(limit)
-    numbered = with_prefix(found.withColumn("__down", -F.col("count")), [], ["__down", "path_id"])
+        small = limit <= ONE_TASK
+    else:
+        small = found.limit(ONE_TASK + 1).count() <= ONE_TASK
+    if small:
+        numbered = found.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("count"), "path_id")) - 1).cast("long"))
+    else:
+        numbered = with_prefix(found.withColumn("__down", -F.col("count")), [], ["__down", "path_id"])
     named = numbered.join(paths.select("path_id", "path"), "path_id", "left")
     return named.select("rank", "path_id", F.coalesce("path", F.lit("")).alias("path"), "count").select(*RESULT.names)
 

@@ -58,7 +58,7 @@ class IndexStore:
         spread = postings.repartitionByRange(n, "letter", "word", "path_id").sortWithinPartitions("letter", "word", "path_id")
         spread.write.mode("overwrite").partitionBy("letter").parquet(f"{self.files.root}/{name}")
 
-    def commit(self, postings: DataFrame, paths: DataFrame, started: dt.datetime, replace: bool = False) -> dict:
+    def commit(self, postings: DataFrame, paths: DataFrame, started: dt.datetime, replace: bool = False, streams: dict[str, int] | None = None) -> dict:
         """Adds a segment (or, replacing, makes it the only one) and the new path table."""
         old = self.manifest()
         version = old["version"] + 1
@@ -73,6 +73,7 @@ class IndexStore:
             "last_updated": started.astimezone(dt.timezone.utc).isoformat(),
             "n_paths": written.count(),
             "fresh": replace or not old["segments"],
+            "streams": old.get("streams", {}) | (streams or {}),
         }
         self.files.write_json("MANIFEST.json", new)
         self.clean(keep=[*old["segments"], *([old["paths"]] if old["paths"] else [])])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from palimpsest.cli import main, parse_arguments
 from palimpsest.engine import Engine
 from palimpsest.operators.check import check, report
+from palimpsest.schemas import DOCS
 from palimpsest.sources.config import ConfigError, EngineConfig, load
 from palimpsest.sources.files import list_tree, read_files, wanted
 from palimpsest.store.lock import IndexLock, LockTimeout
-from palimpsest.store.snapshot import IndexStore
+from palimpsest.streaming.ingest import ingest, take_batch
 
 
 def write(folder, name, text=""):
@@ -175,6 +176,20 @@ def test_lock(tmp_path):
         assert taken.held
 
 
+def test_stream_takes_each_batch_once(spark, engine, tmp_path):
+    folder = tmp_path / "incoming"
+    rows = lambda *names: spark.createDataFrame([(f"/in/{n}.txt", dt.datetime(2024, 1, 1), 9, bytearray(f"{n} words\n".encode())) for n in names], DOCS)
+    rows("first", "second").write.parquet(str(folder))
+    stream = lambda: spark.readStream.schema(DOCS).parquet(str(folder))
+    ingest(engine, stream(), "in", str(tmp_path / "mark")).awaitTermination()
+    assert hits(engine, "first") == {"first.txt": 1} and engine.store.manifest()["streams"] == {"in": 0}
+    rows("third").write.mode("append").parquet(str(folder))
+    ingest(engine, stream(), "in", str(tmp_path / "mark")).awaitTermination()
+    assert hits(engine, "words") == {"first.txt": 1, "second.txt": 1, "third.txt": 1}
+    assert not take_batch(engine, "in", rows("again"), 1) and hits(engine, "again") == {}
+    assert take_batch(engine, "in", rows(), 2) and engine.store.manifest()["streams"] == {"in": 2}
+
+
 def test_command_line(spark, tree, tmp_path):
     said = []
     say = lambda *a, **k: main(list(a), spark=spark, write=said.append, **k)
