@@ -19,6 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from palimpsest.session import sized_broadcast
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each is there; a plain sort beats hashing here."""
+    values = np.sort(values)
+    heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[heads], np.diff(np.append(heads, len(values)))
 
 
 def degrees(tokens: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -31,17 +41,15 @@ def degrees(tokens: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray,
     if null:
         row, code = row[code >= 0], code[code >= 0]
     size = max(1, len(coded.dictionary))
-    found, times = np.unique(row * size + code, return_counts=True)
-    edges = []
+    found, times = _distinct(row * size + code)
+    node = np.searchsorted(found, row * size + code)
+    edges = [np.zeros(0, np.int64)]
     for gap in range(1, window + 1):
-        a, b = code[:-gap], code[gap:]
-        joined = (row[:-gap] == row[gap:]) & (a != b)
-        at = row[:-gap][joined] * size
-        edges += [np.stack((at + a[joined], b[joined])), np.stack((at + b[joined], a[joined]))]
-    ends = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
-    node = np.searchsorted(found, ends[0])
-    pairs = np.unique(node * size + ends[1])
-    near = np.bincount(pairs // size, minlength=len(found))
+        joined = np.flatnonzero((row[:-gap] == row[gap:]) & (code[:-gap] != code[gap:]))
+        a, b = node[joined], node[joined + gap]
+        edges += [a * len(found) + b, b * len(found) + a]
+    pairs, _ = _distinct(np.concatenate(edges))
+    near = np.bincount(pairs // max(1, len(found)), minlength=len(found))
     return found // size, found % size, times, near, coded.dictionary
 
 
@@ -104,3 +112,20 @@ def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: in
     rows = rows.withColumn("reach", reach(F.col("count"), F.col("length"), window))
     score = F.round(F.col("reach") / F.col("length") * rarity(F.col("n_paths"), total), 6)
     return rows.select("path_id", "word", "count", "length", "n_paths", "reach", score.alias("score"))
+
+
+def key_terms(records: DataFrame, record: str, tokens: str, most: int = 3, window: int = 4) -> DataFrame:
+    """(record, place, term, degree, n_records, score): the `most` terms that mark each record best.
+
+    score = degree * rarity; equal scores in order of the term. Records are
+    taken as they are: the same id twice is two records in one ranking.
+    """
+    rows = records.select(record, F.col(tokens).cast("array<string>").alias("__tokens"))
+    total = rows.count()
+    held = rows.select(F.explode(F.array_distinct("__tokens")).alias("term")).where("term IS NOT NULL")
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
+    weighed = term_degrees(rows, record, "__tokens", window).join(sized_broadcast(counts, 1_000_000), "term")
+    weighed = weighed.withColumn("score", F.round(F.col("degree") * rarity(F.col("n_records"), total), 6))
+    best = Window.partitionBy(record).orderBy(F.desc("score"), "term")
+    ranked = weighed.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= most)
+    return ranked.select(record, "place", "term", "degree", "n_records", "score")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.graph_weights import weigh_hits
+from palimpsest.functions.tokens import letters, runs
+from palimpsest.llm.graph_weights import key_terms, weigh_hits
 from palimpsest.llm.keyword_pages import keyword_pages, scored
 from palimpsest.llm.leakage import leaked, without_leaks
 from palimpsest.llm.lookalikes import alike_pairs, merged_entries
@@ -13,6 +14,7 @@ from palimpsest.llm.mixing import mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
+from palimpsest.queries_index import _folded_sql
 from palimpsest.session import read_spread, read_table, sized_broadcast
 
 QUERIES: dict = {}
@@ -81,6 +83,26 @@ def p1_hit_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hit_scores(spark, folder)
 
 
+@query(f"""
+WITH r AS (SELECT doc_id, string_split_regex({_folded_sql("hex(encode(text))")}, '[^a-z]') AS a
+           FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT doc_id, len(a) AS n, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM r),
+t AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM u
+      WHERE CASE WHEN i < n THEN length(w) BETWEEN 5 AND 14 ELSE length(w) BETWEEN 4 AND 19 END),
+e AS (SELECT a.doc_id, a.w, count(DISTINCT b.w) AS degree
+      FROM t a LEFT JOIN t b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 4 AND a.w <> b.w GROUP BY a.doc_id, a.w),
+d AS (SELECT w, count(*) AS n FROM e GROUP BY w),
+s AS (SELECT e.*, d.n, round(degree * ln(((SELECT count(*) FROM r) + 1) / d.n), 6) AS score FROM e JOIN d ON d.w = e.w)
+SELECT doc_id, place, w AS term, degree, n AS n_records, score
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS place FROM s) WHERE place <= 3
+""")
+def p1_document_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The three words that mark each document best, by its graph of words."""
+    documents = read_spread(spark, folder, "documents").where("text IS NOT NULL")
+    sequences = documents.select("doc_id", runs(letters(F.col("text"))).alias("words")).dropDuplicates(["doc_id"])
+    return key_terms(sequences, "doc_id", "words")
+
+
 @query("""
 WITH p AS (SELECT word, path_id FROM postings WHERE word IS NOT NULL AND path_id <> 0),
 c AS (SELECT word, count(DISTINCT path_id) AS n FROM p GROUP BY word)
