@@ -55,8 +55,9 @@ def bodies(content: Column, limit: Column, overlap: int = OVERLAP) -> Column:
 
 def pieces(items: DataFrame, content: str, limit: str, overlap: int = OVERLAP) -> DataFrame:
     """`items` without `content`, one row per piece: piece_no (from 0), start (of
-    the new content, in bytes), overlap (bytes repeated), piece (BINARY)."""
-    rest = [c for c in items.columns if c != content]
+    the new content, in bytes), overlap (bytes repeated), piece (BINARY). These
+    replace columns of the same name."""
+    rest = [c for c in items.columns if c not in (content, "piece_no", "start", "overlap", "piece")]
     sizes = F.transform(bodies(F.col(content), F.col(limit), overlap), F.length)
     starts = F.aggregate("__sizes", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
     at = items.withColumn("__sizes", sizes).withColumn("__starts", starts)

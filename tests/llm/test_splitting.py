@@ -8,7 +8,7 @@ SCHEMA = "k long, content binary, limit long, start int"
 
 
 def cut(spark, *rows):
-    df = spark.createDataFrame([(i, None if c is None else bytearray(c), n, 7) for i, (c, n) in enumerate(rows)], SCHEMA).drop("start")
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c), n, 7) for i, (c, n) in enumerate(rows)], SCHEMA)
     out = {}
     for r in pieces(df, "content", "limit").collect():
         out.setdefault(r["k"], []).append((r["piece_no"], r["start"], r["overlap"], bytes(r["piece"])))
