@@ -8,7 +8,8 @@ stretch; the states of keys that cross a boundary are stitched afterwards.
 Defined cases, for all functions here: a null key is a key of its own; a null
 order value sorts first; repeated rows stay separate rows and are ranked next
 to each other in no fixed order; an empty input gives an empty result; other
-columns are carried along untouched (their names must not start with ``__``).
+columns are carried along untouched (their names must not start with ``__``;
+columns named like a result are replaced).
 """
 
 from __future__ import annotations

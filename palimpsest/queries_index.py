@@ -133,7 +133,7 @@ def _not(a: str, b: str) -> str:
 
 
 H, FI, O, B = _term("harbour"), _term("fishing"), _term("orchard"), _term("bakery")
-NONE = "(SELECT path_id, n FROM (SELECT 0 AS path_id, 0 AS n) WHERE false)"
+NONE = "(SELECT path_id, n FROM (SELECT CAST(0 AS BIGINT) AS path_id, CAST(0 AS BIGINT) AS n) WHERE false)"
 
 #: name: (query as typed, the same in SQL, settings)
 BOOLEAN = {
