@@ -190,11 +190,12 @@ def mixture(
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, tokens, share, n_docs, most_copies): what the mixture came to."""
+    """(source, target_share, tokens, share, n_docs, most_copies): what the mixture came to, for each row of `targets`."""
     by = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("n_docs"), (F.max("copy") + 1).alias("most_copies"))
-    total = mixed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
     tokens = F.coalesce("tokens", F.lit(0))
-    return targets.select("source", "target_share").join(by, "source", "left").select(
-        "source", "target_share", tokens.alias("tokens"), F.round(F.when(total > 0, tokens / total).otherwise(0.0), 6).alias("share"),
+    # one row per source of the mixture, of which there are at most MAX_TARGETS
+    whole = by.withColumn("__share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    return targets.select("source", "target_share").join(whole, "source", "left").select(
+        "source", "target_share", tokens.alias("tokens"), F.round(F.coalesce("__share", F.lit(0.0)), 6).alias("share"),
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
