@@ -11,10 +11,12 @@ A stretch of `stretch` words with at most one in ten exchanged always holds
 SEED = 6 equal words in a row, since three runs share at least 18 equal words;
 the search is therefore complete for the default stretch.
 
-Stock formulas are no passage of an item: a match counts only if it has SEED
-words in a row that the shard does not hold far more often than it holds most
-of that item. An item copied many times stays found, since all of it is then
-as frequent.
+Stock formulas are no passage of an item. A match is dropped only where all of
+it is formula: every SEED words in a row of it stand in at least FORMULA_ITEMS
+items of different text, and more than FORMULA_TEXTS different folded texts of
+the whole corpus hold them in a match of which nothing else is left. A match
+with other words of the item in it always counts, as does a passage of one
+item, however many documents hold it.
 
 Suffixes whose first words occur in no item as a pair are not put into the
 array, as no item suffix can meet them. Items are sent to the executors in
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.words import without_remarks, word_hashes
+from palimpsest.session import checkpointed
 
 SEED = 6
-STOCK = 8  # documents of a shard that may hold the words of an item
-STOCK_TIMES = 4  # or times as many as hold most of its words
+FORMULA_ITEMS = 3  # items of different text that share a formula of the house
+FORMULA_TEXTS = 8  # different texts that may hold such words and nothing else of an item
 STRETCH = 20
 BLOCK_BYTES = 32_000_000
 CHUNK = 100_000
@@ -58,19 +62,46 @@ class Items:
     suffixes: np.ndarray  # starts that have SEED words
     keys: list[np.ndarray]  # pair ranks of the suffixes at 0, 2, 4
     need: np.ndarray  # words that a finding must span, by item
+    bounds: np.ndarray  # first place of each item, and the end
+    seeds: np.ndarray  # hash of each suffix's SEED words
+    own: np.ndarray  # by place: suffixes before it that few items share
 
 
-def prepare(ids: list[int], texts: list[str], stretch: int = STRETCH) -> Items:
+def seed_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One hash of the SEED words at each start."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(SEED):
+        out = (out ^ hashes[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def text_hash(hashes: np.ndarray) -> int:
+    """One hash of a folded text."""
+    return int.from_bytes(blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def seed_starts(row: np.ndarray) -> np.ndarray:
+    """Places that have SEED words of one row."""
+    return np.flatnonzero(row[: len(row) - SEED + 1] == row[SEED - 1 :]) if len(row) >= SEED else np.zeros(0, np.int64)
+
+
+def prepare(ids: list[int], texts: list[str], stretch: int = STRETCH, shared: np.ndarray | None = None) -> Items:
+    """`shared`: seed hashes that FORMULA_ITEMS items or more have."""
     hashes, row = word_hashes(pa.array(texts, pa.large_string()))
     vocabulary, words = np.unique(hashes, return_inverse=True)
     words = words.astype(np.int64)
     joined = row[1:] == row[:-1]
     pairs = np.unique((words[:-1] * len(vocabulary) + words[1:])[joined]) if len(words) else np.zeros(0, np.int64)
     rank = _pair_ranks(words, row, pairs, len(vocabulary))
-    last = np.arange(len(words)) + SEED - 1
-    suffixes = np.flatnonzero((last < len(words)) & (row[np.minimum(last, len(words) - 1)] == row)) if len(words) else np.zeros(0, np.int64)
+    suffixes = seed_starts(row)
     lengths = np.bincount(row, minlength=len(ids)) if len(words) else np.zeros(len(ids), np.int64)
-    return Items(np.array(ids, np.int64), words, row, vocabulary, pairs, suffixes, [rank[suffixes + i] for i in (0, 2, 4)], np.minimum(lengths, stretch))
+    seeds = seed_hashes(hashes, suffixes)
+    own = np.zeros(len(words) + 1, np.int64)
+    own[suffixes + 1] = ~np.isin(seeds, [] if shared is None else shared)
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    keys = [rank[suffixes + i] for i in (0, 2, 4)]
+    return Items(np.array(ids, np.int64), words, row, vocabulary, pairs, suffixes, keys, np.minimum(lengths, stretch), bounds, seeds, np.cumsum(own))
 
 
 def _pair_ranks(words: np.ndarray, row: np.ndarray, pairs: np.ndarray, size: int) -> np.ndarray:
@@ -104,47 +135,19 @@ def suffix_array(words: np.ndarray, row: np.ndarray, items: Items) -> tuple[np.n
     return starts[order], keys[order]
 
 
-@dataclass
-class Meeting:
-    """Where the suffixes of the items meet a shard."""
-
-    starts: np.ndarray  # the suffix array
-    low: np.ndarray  # by item suffix: its stretch of the array
-    high: np.ndarray
-    own: np.ndarray  # by place in the items: suffixes before it that are no stock
-
-
-def meet(words: np.ndarray, row: np.ndarray, items: Items) -> Meeting:
-    """Binary search of every item suffix in the suffix array of a shard.
-
-    A suffix whose first SEED words the shard holds far more often than most of
-    its item begins with stock: words that many documents have anyhow.
-    """
+def matches(words: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the shard, place in the items) of matches of SEED words that can't begin earlier."""
     starts, keys = suffix_array(words, row, items)
     wanted = _joined(items.keys, len(items.pairs) + 1)
     low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    many, of = high - low, items.row[items.suffixes]
-    order = np.lexsort((many, of))
-    first = np.searchsorted(of[order], np.arange(len(items.ids)), "left")
-    last = np.searchsorted(of[order], np.arange(len(items.ids)), "right")
-    usual = np.zeros(len(items.ids), np.int64)
-    some = last > first
-    usual[some] = many[order][(first[some] + last[some] - 1) // 2]
-    own = np.zeros(len(items.words) + 1, np.int64)
-    own[items.suffixes + 1] = many <= np.maximum(STOCK, STOCK_TIMES * usual[of])
-    return Meeting(starts, low, high, np.cumsum(own))
-
-
-def matches(words: np.ndarray, row: np.ndarray, items: Items, met: Meeting) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place in the shard, place in the items) of matches of SEED words that can't begin earlier."""
-    found = np.flatnonzero(met.high > met.low)
-    many = met.high[found] - met.low[found]
+    found = np.flatnonzero(high > low)
+    many = high[found] - low[found]
     ends = np.cumsum(many)
     total, done = int(ends[-1]) if len(ends) else 0, 0
     while done < total:  # in chunks: a formula of the house meets many documents
         index = np.arange(done, min(done + 10 * CHUNK, total))
         which = np.searchsorted(ends, index, "right")
-        place = met.starts[met.low[found[which]] + index - (ends[which] - many[which])]
+        place = starts[low[found[which]] + index - (ends[which] - many[which])]
         item = items.suffixes[found[which]]
         before = (place > 0) & (item > 0) & (row[place - 1] == row[place]) & (items.row[item - 1] == items.row[item]) & (words[place - 1] == items.words[item - 1])
         yield place[~before], item[~before]
@@ -167,10 +170,14 @@ def matched_length(words, row, items, place, item) -> np.ndarray:
     return length
 
 
-def spans(words, row, items, place, item, length, stretch: int) -> np.ndarray:
-    """Whether a window around the match has enough equal words: all but one in ten."""
+def spans(words, row, items, place, item, length, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a window around the match has enough equal words: all but one in ten; its begin and end in the items).
+
+    The begin and end of a long enough match are its own; of several windows
+    that will do it is the one with most words that few items share.
+    """
     need = items.need[items.row[item]]
-    out = length >= need
+    out, first, last = length >= need, item.copy(), item + length
     for begin in range(0, len(place), CHUNK):
         some = begin + np.flatnonzero(~out[begin : begin + CHUNK])
         if not len(some):
@@ -179,30 +186,42 @@ def spans(words, row, items, place, item, length, stretch: int) -> np.ndarray:
         sums = np.zeros((len(some), 3 * stretch), np.int32)
         for k in range(1, 3 * stretch):
             sums[:, k] = sums[:, k - 1] + _equal(words, row, items, a, b, k - stretch)
+        enough = sums[:, -1] >= n - n // 10
+        some, b, n, sums = some[enough], b[enough], n[enough], sums[enough]
         span = np.arange(3 * stretch)
         until = np.minimum(span[None, :] + n[:, None], 3 * stretch - 1)
         inside = np.take_along_axis(sums, until, 1) - sums
-        out[some] = inside.max(1) >= n - n // 10
-    return out
-
-
-def search(words: np.ndarray, row: np.ndarray, items: Items, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document row, item number, longest verbatim match) of each finding."""
-    rows, numbers, longest = [], [], []
-    if len(words) < SEED or not len(items.suffixes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    met = meet(words, row, items)
-    for place, item in matches(words, row, items, met):
-        length = matched_length(words, row, items, place, item)
-        anchored = met.own[item + length - SEED + 1] > met.own[item]  # some SEED words of the match are no stock
-        place, item, length = place[anchored], item[anchored], length[anchored]
-        good = spans(words, row, items, place, item, length, stretch)
-        rows.append(row[place[good]])
-        numbers.append(items.row[item[good]])
-        longest.append(length[good])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    r, n, best = map(np.concatenate, (rows, numbers, longest))
+        good = inside >= (n - n // 10)[:, None]
+        any_ = good.any(1)
+        some, b, n, good = some[any_], b[any_], n[any_], good[any_]
+        start = b[:, None] + span[None, :] + 1 - stretch
+        of = items.row[b]
+        low, high = np.maximum(start, items.bounds[of][:, None]), np.minimum(start + n[:, None], items.bounds[of + 1][:, None])
+        best = np.where(good, own_seeds(items, low, high), -1).argmax(1)[:, None]
+        out[some] = True
+        first[some], last[some] = np.take_along_axis(low, best, 1)[:, 0], np.take_along_axis(high, best, 1)[:, 0]
+    return out, first, last
+
+
+def own_seeds(items: Items, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many SEED words in a row between two places of an item few items share."""
+    return items.own[np.clip(last - SEED + 1, 0, len(items.own) - 1)] - items.own[np.clip(first, 0, len(items.own) - 1)]
+
+
+def all_matches(words: np.ndarray, row: np.ndarray, items: Items, stretch: int) -> tuple[np.ndarray, ...]:
+    """(document row, item number, verbatim words, begin and end in the items) of every match that is long enough."""
+    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+    if len(words) >= SEED and len(items.suffixes):
+        for place, item in matches(words, row, items):
+            length = matched_length(words, row, items, place, item)
+            good, first, last = spans(words, row, items, place, item, length, stretch)
+            for column, values in zip(out, (row[place], items.row[item], length, first, last)):
+                column.append(values[good])
+    return tuple(map(np.concatenate, out))
+
+
+def longest_of(r: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document row, item number, longest verbatim match), each pair once."""
     order = np.lexsort((-best, n, r))
     r, n, best = r[order], n[order], best[order]
     first = np.ones(len(r), bool)
@@ -210,6 +229,27 @@ def search(words: np.ndarray, row: np.ndarray, items: Items, stretch: int) -> tu
     return r[first], n[first], best[first]
 
 
+def search(words: np.ndarray, row: np.ndarray, items: Items, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document row, item number, longest verbatim match) of each finding, formulas included."""
+    return longest_of(*all_matches(words, row, items, stretch)[:3])
+
+
+def shared_seeds(items: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of SEED words in a row that FORMULA_ITEMS items of different folded text have."""
+    texts = items.where(F.col(text).isNotNull()).select(without_remarks(F.col(text)).alias("__text")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, row = word_hashes(batch.column(0))
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            of = np.array([text_hash(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
+            starts = seed_starts(row)
+            yield pa.RecordBatch.from_arrays([pa.array(seed_hashes(hashes, starts)), pa.array(of[row[starts]])], names=["seed", "of"])
+
+    held = texts.mapInArrow(work, "seed long, of long").distinct().groupBy("seed").count().where(F.col("count") >= FORMULA_ITEMS)
+    return np.array(sorted(r[0] for r in held.select("seed").collect()), np.int64)
+
+
 def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     """Items in blocks of at most `block_bytes`, or of one item; read one partition at a time."""
     clean = items.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct()
@@ -232,11 +272,15 @@ def leaked(
 ) -> DataFrame:
     """(doc, item, longest): documents that hold an item, or `stretch` words of it with at
     most one in ten exchanged; `longest` is the longest verbatim match in words."""
-    schema = T.StructType([documents.schema[doc], items.schema[item], T.StructField("longest", T.LongType())])
+    schema = T.StructType([
+        documents.schema[doc], items.schema[item], T.StructField("longest", T.LongType()),
+        T.StructField("__of", T.LongType()), T.StructField("__seeds", T.ArrayType(T.LongType())),
+    ])
     texts = documents.select(doc, without_remarks(F.col(text)).alias("__text")).where(F.col(doc).isNotNull() & F.col("__text").isNotNull())
     spark, out = documents.sparkSession, None
+    shared = shared_seeds(items, item_text)
     for ids, words in _blocks(items, item, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(prepare(ids, words, stretch))
+        sent = spark.sparkContext.broadcast(prepare(ids, words, stretch, shared))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -244,18 +288,42 @@ def leaked(
                 hashes, row = word_hashes(batch.column(1))
                 at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
                 ranks = np.where(items.vocabulary[at] == hashes, at, -1)
-                docs, numbers, longest = search(ranks, row, items, stretch)
+                docs, numbers, longest, first, last = all_matches(ranks, row, items, stretch)
+                sure = own_seeds(items, first, last) > 0
+                doubt = np.flatnonzero(~sure)
+                # what may be formula is told apart once the whole corpus is counted
+                of = {r: text_hash(hashes[np.searchsorted(row, r) : np.searchsorted(row, r, "right")]) for r in np.unique(docs[doubt])}
+                seeds = [items.seeds[slice(*np.searchsorted(items.suffixes, (first[i], last[i] - SEED + 1)))] for i in doubt]
+                docs, numbers, longest, doubted = *longest_of(docs[sure], numbers[sure], longest[sure]), (docs[doubt], numbers[doubt], longest[doubt])
+                texts = pa.array([None] * len(docs) + [of[r] for r in doubted[0]], pa.int64())
+                docs, numbers, longest = (np.concatenate(x) for x in zip((docs, numbers, longest), doubted))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(docs)), pa.array(items.ids[numbers], pa.int64()), pa.array(longest, pa.int64())], names=schema.names
-                )
+                    [batch.column(0).take(pa.array(docs)), pa.array(items.ids[numbers], pa.int64()), pa.array(longest, pa.int64()),
+                     texts, pa.array([None] * (len(docs) - len(seeds)) + seeds, pa.list_(pa.int64()))],
+                    names=schema.names,
+                )
 
         part = texts.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType(schema.fields[:3]))
+    if len(shared):
+        out = _without_formulas(out, doc, item)
     return out.groupBy(doc, item).agg(F.max("longest").alias("longest"))
 
 
+def _without_formulas(found: DataFrame, doc: str, item: str) -> DataFrame:
+    """Matches without those whose seeds (null: surely no formula) all stand in more than FORMULA_TEXTS texts."""
+    found = checkpointed(found)
+    doubted = found.where("__of IS NOT NULL")
+    if doubted.isEmpty():
+        return found
+    seeds = doubted.select("__of", F.explode("__seeds").alias("__seed"))
+    rare = seeds.distinct().groupBy("__seed").count().where(F.col("count") <= FORMULA_TEXTS).select("__seed")
+    held = doubted.withColumn("__seed", F.explode("__seeds")).join(rare, "__seed", "left_semi").select(doc, item, "longest")
+    return found.where("__of IS NULL").select(doc, item, "longest").unionByName(held)
+
+
 def without_leaks(documents: DataFrame, doc: str, found: DataFrame) -> DataFrame:
     """`documents` that no row of `found` names. Rows with a null id stay."""
     return documents.join(found.select(doc).distinct(), doc, "left_anti")

@@ -80,6 +80,23 @@ def test_suffix_array_is_sorted_and_rows_do_not_run_together():
     assert len(docs) == 0
 
 
+def test_a_passage_in_many_copies_is_found_and_a_formula_is_not(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randint(0, 10**6)}" for _ in range(n)]
+    formula = own(24)
+    items = [own(60), *(own(20) + formula + own(20) for _ in range(3))]
+    part = items[0][5:27]  # less than half of its item
+    docs = {i: own(30) + part + own(30) for i in range(30)} | {30: part * 12}
+    docs |= {i: own(30) + formula + own(30) for i in range(100, 130)} | {200: items[1], 201: items[1][12:46]}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()] * 2, "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(i, 0) for i in range(31)} | {(200, 1), (201, 1)}
+    for frame, size in ((d, 32_000_000), (d.coalesce(1), 300)):
+        assert {tuple(r)[:2] for r in leaked(frame, "doc_id", "text", t, "item_id", "text", block_bytes=size).collect()} == want
+    few = d.where("doc_id < 108")  # as many texts as a formula may not have
+    assert {r["doc_id"] for r in leaked(few, "doc_id", "text", t, "item_id", "text").collect()} == set(range(31)) | set(range(100, 108))
+
+
 PROSE = ["The council met in {0} and the members agreed that the {1} should be kept. It was said that the {2} could not wait, and nobody spoke against it.",
          "I am told that the {0} near {1} will be closed in the spring. We have asked the minister about the {2}, but the answer is still not here."]
 
