@@ -13,9 +13,10 @@ that the page repeats make up enough of it: that keeps division lists and order
 which are no prose either but repeat nothing. Refrains are prose to the model.
 A page is found if more than half of its characters are in such stretches.
 
-The model is fitted on a bounded sample of the documents (about TRAINING_ROWS,
-by a hash of their ids, texts of up to TRAINING_CHARS), from which `train` keeps
-what is prose. Everything else reads all documents in whole.
+The model is fitted on a bounded sample of the distinct texts (about
+TRAINING_ROWS, by a hash of the text, of up to TRAINING_CHARS), from which
+`train` keeps what is prose; texts of the same words count once, so that no
+page becomes usual by its copies. Everything else reads all documents in whole.
 
 Defined cases: null or blank text is never found; null ids are left out; a
 repeated row gives one result; an empty table gives none.
@@ -253,9 +254,26 @@ def _near_middle(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.abs(values - middle) <= 3 * 1.4826 * max(0.02, np.median(np.abs(values[among] - middle)))
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """One of all texts that say the same words, in whatever order, number and layout."""
+    c = chunks(pa.array(texts, pa.large_string()))
+    plain = c.shape <= CAPITALS
+    if not plain.any():
+        return sorted(set(texts))
+    pairs = np.unique(np.stack((c.row[plain].astype(np.uint64), c.hash[plain]), axis=1), axis=0)
+    row, mixed = pairs[:, 0].astype(np.int64), pairs[:, 1] * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    begins = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    key = np.zeros(len(texts), np.uint64)
+    key[row[begins]] = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
+    return [texts[i] for i in np.sort(np.unique(key, return_index=True)[1])]
+
+
 def train(texts: list[str]) -> Prose:
     """A model of the prose among `texts`: of those with hardly a link, tag or
-    bare mark that say words again no more and no less than most texts do."""
+    bare mark that say words again no more and no less than most texts do.
+    Texts of the same words count once."""
+    texts = _distinct(texts)
     c = chunks(pa.array(texts, pa.large_string()))
     count = max(1, len(texts))
     if not len(c.row):
@@ -296,12 +314,12 @@ def _shares(column: pa.Array, prose: Prose) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prose_of(documents: DataFrame, doc: str, text: str) -> Prose:
-    """The model of the rows whose id hashes below a bound, set so that about TRAINING_ROWS come."""
-    rows = documents.select(doc, text).where(F.col(text).isNotNull() & (F.length(text) <= TRAINING_CHARS))
-    total = documents.count()
+    """The model of the distinct texts that hash below a bound, set so that about TRAINING_ROWS come."""
+    rows = documents.select(F.col(text).alias("text")).where(F.col(text).isNotNull() & (F.length(text) <= TRAINING_CHARS))
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     cut = 2**40 if total <= TRAINING_ROWS else int(2**40 * TRAINING_ROWS / total)
-    sample = rows.where(F.pmod(F.xxhash64(doc), F.lit(2**40)) < cut).limit(2 * TRAINING_ROWS)
-    return train(sorted(r[1] for r in sample.collect()))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(2**40)) < cut).distinct().limit(2 * TRAINING_ROWS)
+    return train(sorted(r[0] for r in sample.collect()))
 
 
 def scored(documents: DataFrame, doc: str, text: str, prose: Prose | None = None) -> DataFrame:

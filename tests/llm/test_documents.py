@@ -143,6 +143,16 @@ def test_pages_held_out(spark):
     assert scored(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_a_keyword_page_on_a_third_of_the_rows(spark):
+    rng = random.Random(6)
+    names = rng.sample(VOCABULARY, 40)
+    said = [w for i in range(0, 40, 4) for w in (*names[i : i + 4], names[i])]  # one word in five a moment ago
+    page = " ".join(said * 4)
+    rows = [(i, prose(rng)) for i in range(400)] + [(i, page) for i in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in keyword_pages(df, "doc_id", "text").collect()} == set(range(1000, 1200))
+
+
 def test_very_long_page(spark):
     rng = random.Random(8)
     long = " ".join(prose(rng) for _ in range(5000))
