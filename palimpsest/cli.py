@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from palimpsest.engine import Engine
 from palimpsest.operators.check import report
-from palimpsest.plans.boolean import formatted
+from palimpsest.plans.boolean import result_lines
 from palimpsest.session import local_session
 from palimpsest.sources.config import ConfigError, load
 
@@ -56,6 +56,12 @@ def parse_arguments(argv: list[str]) -> Arguments:
     return out
 
 
+def show(engine: Engine, text: str, write) -> None:
+    """Writes every hit as it comes; `write` ends the line itself."""
+    for line in result_lines(engine.search(text)):
+        write(line.removesuffix("\n"))
+
+
 def main(argv: list[str] | None = None, spark=None, read=input, write=print) -> int:
     args = parse_arguments(sys.argv[1:] if argv is None else argv)
     if args.any("h", "help") or not (args.options or args.settings or args.query):
@@ -91,9 +97,9 @@ def main(argv: list[str] | None = None, spark=None, read=input, write=print) ->
             write(f"Indexed: version {made['version']}, {made['n_paths']} paths.")
         else:
             while (text := read("Query (q ends): ")) not in ("q", "quit", "exit"):
-                write(formatted(engine.search(text)))
+                show(engine, text, write)
     if args.query:
-        write(formatted(engine.search(args.query)))
+        show(engine, args.query, write)
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,9 +129,18 @@ def ranked(found: DataFrame, paths: DataFrame, limit: int | None = None) -> Data
     return named.select("rank", "path_id", F.coalesce("path", F.lit("")).alias("path"), "count").select(*RESULT.names)
 
 
-def formatted(results: DataFrame, most: int = 1000) -> str:
-    """The lines of a result page; `most` bounds what the driver takes in."""
-    rows = results.orderBy("rank").limit(most).collect()
-    if not rows:
-        return "\nNo results found.\n"
-    return "".join(f"\n {r['rank']}. {r['path']} with {r['count']} matches.\n" for r in rows)
+def result_lines(results: DataFrame, most: int | None = None) -> Iterator[str]:
+    """The lines of a result page, all of them unless `most` is given.
+
+    The driver takes in one partition of the ordered rows at a time.
+    """
+    rows, none = results.orderBy("rank"), True
+    for r in (rows if most is None else rows.limit(most)).toLocalIterator():
+        none = False
+        yield f"\n {r['rank']}. {r['path']} with {r['count']} matches.\n"
+    if none:
+        yield "\nNo results found.\n"
+
+
+def formatted(results: DataFrame, most: int | None = None) -> str:
+    return "".join(result_lines(results, most))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from palimpsest.plans.boolean import formatted, ranked, relational, search
+from palimpsest.plans.boolean import formatted, ranked, relational, result_lines, search
 from palimpsest.plans.query import Query, SearchConfig, parse
 from tests.oracles import answer
 
@@ -107,3 +107,12 @@ def test_ranking(spark, postings):
     assert [tuple(r)[:2] for r in ranked(search(postings, "apple"), paths, limit=2).orderBy("rank").collect()] == [(0, 1), (1, 2)]
     assert formatted(ranked(search(postings, "apple"), paths, limit=1)) == "\n 0. /a with 2 matches.\n"
     assert "No results" in formatted(ranked(search(postings, "nothing"), paths))
+
+
+def test_every_hit_is_written(spark):
+    postings = spark.range(1, 1502).selectExpr("'a' AS letter", "'apple' AS word", "id AS path_id")
+    paths = spark.range(1, 1502).selectExpr("id AS path_id", "concat('/', id) AS path")
+    lines = list(result_lines(ranked(search(postings, "apple"), paths)))
+    assert lines == [f"\n {i}. /{i + 1} with 1 matches.\n" for i in range(1501)]
+    assert formatted(ranked(search(postings, "apple"), paths)) == "".join(lines)
+    assert formatted(ranked(search(postings, "apple"), paths), most=2) == "".join(lines[:2])
