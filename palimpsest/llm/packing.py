@@ -5,7 +5,10 @@ capacity, rounded up, and only the histogram over the grid is solved: the
 configuration linear program, by multiplicative weights. Each step prices the
 sizes, finds the best-paying filling of one container with a knapsack dynamic
 program, uses it a number of times rounded to whole containers, and lowers the
-prices of the sizes that it covers. Items then take the places of their size by rank, found without sorting
+prices of the sizes that it covers. Where that takes more containers than the
+exact sizes ask for, small items (up to SMALL steps) are poured by their exact
+sums into the room that the others leave, so that a container loses less than
+one small item, and the better of both plans holds. Items then take the places of their size by rank, found without sorting
 a group in one task, so a group may hold any share of all rows.
 
 Defined cases: a null or negative size counts 0; a repeated row counts once,
@@ -28,6 +31,8 @@ from pyspark.sql import types as T
 from palimpsest.operators.heavy_keys import with_prefix
 
 GRID = 512
+SMALL = 16  # steps of the grid up to which an item may be poured
+POURED = -1  # class of the poured items in a plan; their places are bytes, not ranks
 STEP = 0.5
 ETAS = (0.1, 2.0)
 BLOCK = 65_536
@@ -137,26 +142,61 @@ def _places(sizes: np.ndarray, fillings: list[list]) -> list[dict]:
     return rows
 
 
+def poured(cells: list[dict], capacity: int, grid: int) -> tuple[list[dict], int]:
+    """(plan, containers) with the small items by exact size, largest first, in what the others leave.
+
+    An item belongs where its first byte falls; each room is less by the
+    largest small item, so that the last one to begin in it fits.
+    """
+    small = [c for c in cells if c["cls"] <= SMALL]
+    large = [c for c in cells if c["cls"] > SMALL]
+    sizes = np.array([c["cls"] for c in large], np.int64)
+    fillings = solve(sizes, np.array([c["n"] for c in large], np.int64), grid) if large else []
+    rows, first, at = _places(sizes, fillings), 0, 0
+    most, least, total = max(c["most"] for c in small), min(c["least"] for c in small), sum(c["sum"] for c in small)
+    rooms = [(capacity * (grid - int(counts @ sizes)) // grid - most + 1, times) for counts, times in fillings]
+    each = capacity - most + 1
+    for room, times in [*rooms, (each, None)]:
+        if times is None:
+            times = max(0, total - least - at + each) // each
+        if room >= most and at < total and times:
+            rows.append({"cls": POURED, "from": at, "to": min(at + room * times, total), "container": first, "each": room})
+            at += room * times
+        first += times
+    return rows, first
+
+
+def _planned(cells: list[dict], capacity: int | None, grid: int) -> tuple[list[dict], int]:
+    """(plan, containers) of one group."""
+    # each rest of a cut item has a class of its own size like the others; class 0 (nothing to hold) rides along
+    free, cells = sum(c["n"] for c in cells if c["cls"] == 0), sorted((c for c in cells if c["cls"]), key=lambda c: c["cls"])
+    rows, number = [], 0
+    if cells:
+        sizes, need = (np.array([c[k] for c in cells], np.int64) for k in ("cls", "n"))
+        total = sum(c["sum"] for c in cells)
+        fillings = [[need, 1]] if capacity and total <= capacity else solve(sizes, need, grid)
+        rows, number = _places(sizes, fillings), sum(t for _, t in fillings)
+        if capacity and number > -(-total // capacity) and cells[0]["cls"] <= SMALL:
+            other, fewer = poured(cells, capacity, grid)
+            rows, number = (other, fewer) if fewer < number else (rows, number)
+    if free:
+        rows.append({"cls": 0, "from": 0, "to": free, "container": 0, "each": free})
+    return rows, number or (1 if free else 0)
+
+
 def _solved(histograms: DataFrame, groups: Sequence[str], grid: int, with_plan: bool) -> DataFrame:
-    fields = [histograms.schema[g] for g in groups] + [T.StructField("n_containers", T.LongType())]
+    fields = [histograms.schema[g] for g in groups] + [T.StructField("n_containers", T.LongType()), T.StructField("__cap", T.LongType())]
     schema = T.StructType(fields + ([T.StructField("plan", _PLAN)] if with_plan else []))
     plan_type = pa.list_(pa.struct([("cls", pa.int32()), *((n, pa.int64()) for n in ("from", "to", "container", "each"))]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plans, numbers = [], []
-            for cells in batch.column(len(groups)).to_pylist():
-                # each rest of a cut item has a class of its own size like the others; class 0 (nothing to hold) rides along
-                cells = sorted((c["cls"], c["n"]) for c in cells)
-                free = sum(n for c, n in cells if c == 0)
-                sizes = np.array([c for c, _ in cells if c], np.int64)
-                fillings = solve(sizes, np.array([n for c, n in cells if c], np.int64), grid) if len(sizes) else []
-                numbers.append(sum(t for _, t in fillings) or (1 if free else 0))
-                rows = _places(sizes, fillings) if with_plan else []
-                if free:
-                    rows.append({"cls": 0, "from": 0, "to": free, "container": 0, "each": free})
+            for cells, capacity in zip(batch.column(len(groups)).to_pylist(), batch.column(len(groups) + 1).to_pylist()):
+                rows, number = _planned(cells, capacity, grid)
+                numbers.append(number)
                 plans.append(rows)
-            columns = [*batch.columns[: len(groups)], pa.array(numbers, pa.int64())]
+            columns = [*batch.columns[: len(groups)], pa.array(numbers, pa.int64()), batch.column(len(groups) + 1)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(plans, plan_type)] if with_plan else columns, names=schema.names
             )
@@ -178,10 +218,19 @@ def _laid_out(items: DataFrame, groups: Sequence[str], item: str, size: str, cap
 
 
 def _histograms(laid: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One row per group: at most one cell per grid step. What only fills containers of its own has no cell."""
+    """One row per group: at most one cell per grid step, and the capacity if all rows have the same.
+
+    What only fills containers of its own has no cell.
+    """
     part = laid.where("NOT (__full > 0 AND __rest = 0)")
-    cells = part.groupBy(*groups, F.col("__cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    return cells.groupBy(*groups).agg(F.collect_list(F.struct("cls", "n")).alias("cells"))
+    cells = part.groupBy(*groups, F.col("__cls").alias("cls")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__rest").alias("sum"), F.min("__rest").alias("least"), F.max("__rest").alias("most"),
+        F.min("__cap").alias("__low"), F.max("__cap").alias("__high"),
+    )
+    return cells.groupBy(*groups).agg(
+        F.collect_list(F.struct("cls", "n", "sum", "least", "most")).alias("cells"),
+        F.when(F.min("__low") == F.max("__high"), F.max("__high")).alias("__cap"),
+    )
 
 
 def _same(groups: Sequence[str], prefix: str):
@@ -210,15 +259,21 @@ def packed(items: DataFrame, groups: Sequence[str], item: str, size: str, capaci
     """
     laid = _laid_out(items, groups, item, size, capacity, grid)
     solved = _solved(_histograms(laid, groups), groups, grid, with_plan=True)
-    small = laid.where("NOT (__full > 0 AND __rest = 0)").select(*groups, item, "__rest", "__cls")
-    ranked = with_prefix(small, [*groups, "__cls"], [item]).withColumn("__block", F.expr(f"rank div {BLOCK}"))
-    # a stretch of ranks is cut at blocks, so that the join key splits even a size that a third of all items have
-    plan = solved.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.explode("plan").alias("p")).select(
-        "*", F.explode(F.expr(f"sequence(p.`from` div {BLOCK}, (p.`to` - 1) div {BLOCK})")).alias("__b")
-    )
-    inside = (F.col("rank") >= F.col("p.from")) & (F.col("rank") < F.col("p.to"))
+    small = laid.where("NOT (__full > 0 AND __rest = 0)").select(*groups, item, "__rest", "__cls", "__cap")
+    by_rank = with_prefix(small, [*groups, "__cls"], [item]).withColumn("__at", F.col("rank"))
+    by_bytes = with_prefix(small.where(f"__cls BETWEEN 1 AND {SMALL}").withColumn("__down", -F.col("__rest")), list(groups), ["__down", item], weight="__rest")
+    # a small item has a place of either kind; the plan of its group names one of them
+    kinds = [by_rank.withColumn("__unit", F.lit(BLOCK).cast("long")), by_bytes.withColumn("__at", F.col("before")).withColumns({"__cls": F.lit(POURED), "__unit": F.col("__cap")})]
+    kinds = [k.select(*groups, item, "__rest", "__cls", "__at", F.expr("__at div __unit").alias("__block")) for k in kinds]
+    ranked = kinds[0].unionByName(kinds[1])
+    # a stretch of places is cut at blocks, so that the join key splits even a size that a third of all items have
+    plan = solved.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.explode("plan").alias("p"), "__cap")
+    plan = plan.withColumn("__unit", F.when(F.col("p.cls") == POURED, F.col("__cap")).otherwise(BLOCK)).select(
+        "*", F.explode(F.expr("sequence(p.`from` div __unit, (p.`to` - 1) div __unit)")).alias("__b")
+    ).drop("__cap", "__unit")
+    inside = (F.col("__at") >= F.col("p.from")) & (F.col("__at") < F.col("p.to"))
     same = _same(groups, "__g_") & (F.col("__cls") == F.col("p.cls")) & (F.col("__block") == F.col("__b")) & inside
-    container = F.col("p.container") + F.expr("(rank - p.`from`) div p.`each`") + 1
+    container = F.col("p.container") + F.expr("(__at - p.`from`) div p.`each`") + 1
     shared = ranked.join(plan, same).select(
         *groups, item, F.lit(0).cast("long").alias("piece"), container.alias("container"), F.col("__rest").alias("size")
     )

@@ -68,3 +68,21 @@ def test_numbers_needed(spark):
     assert (need["free"]["n_containers"], need["zero"]["n_containers"], need["none"]["n_containers"], need["big"]["n_containers"]) == (1, 1, 1, 3)
     assert need["big"]["total"] == 300
     assert containers_needed(rows.where("false"), ["g"], "i", "s", "cap").count() == 0 == packed(rows.where("false"), ["g"], "i", "s", "cap").count()
+
+
+def test_small_items_are_packed_by_exact_size(spark):
+    rng = random.Random(9)
+    sizes = {"even": ([100] * 5000, 50_000), "ones": ([1] * 600, 50_000), "mixed": ([rng.randint(1, 90) for _ in range(4000)] + [rng.randint(9000, 30_000) for _ in range(40)], 50_000)}
+    rows = [(g, i, s, cap, 1, 2) for g, (all_, cap) in sizes.items() for i, s in enumerate(all_)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    need = {r["g"]: r["n_containers"] for r in containers_needed(df, ["g"], "i", "s", "cap").collect()}
+    load, held = defaultdict(int), defaultdict(list)
+    for r in packed(df, ["g"], "i", "s", "cap").collect():
+        load[r["g"], r["container"]] += r["size"]
+        held[r["g"]].append((r["i"], r["size"]))
+    for g, (all_, cap) in sizes.items():
+        numbers = sorted(c for h, c in load if h == g)
+        assert sorted(held[g]) == list(enumerate(all_)) and numbers == list(range(1, need[g] + 1))
+        assert all(n <= cap for (h, _), n in load.items() if h == g)
+        assert need[g] <= -(-sum(all_) // (cap * 0.97)) + (g == "mixed")
+    assert need["ones"] == 1 and need["even"] <= 11
