@@ -221,6 +221,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder).select("doc_id", "item_id")
 
 
+@query()
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each finding with its longest verbatim match and where that stands."""
+    return leaks(spark, folder)
+
+
 @query()
 def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: the documents that hold it and its longest verbatim match."""

@@ -2,8 +2,7 @@
 
 Folding makes words equal that differ only in the way they are written or set:
 case, accents, width, ligatures, look-alike letters, invisible characters,
-punctuation around them, hyphenation at line ends, remarks set in brackets or
-between asterisks. The folding table follows from the Unicode database.
+punctuation around them, hyphenation at line ends. The folding table follows from the Unicode database.
 """
 
 from __future__ import annotations
@@ -20,15 +19,18 @@ from palimpsest.llm.codepoints import CharTable, replacements, row_heads, slices
 from palimpsest.llm.lookalikes import shown
 
 SEPARATOR = 0x20
-REMARK = 120  # characters: what is longer in brackets is text, not a remark
+
+
+def joined_lines(text: Column) -> Column:
+    """Line-end hyphens joined."""
+    return F.regexp_replace(text, r"[-‐­][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
 
 
 def without_remarks(text: Column) -> Column:
     """Bracketed remarks (one may interrupt another) and asterisked ones out, line-end hyphens joined."""
-    bracketed = rf"[(\[][^()\[\]]{{0,{REMARK}}}[)\]]"
+    bracketed = r"[(\[][^()\[\]]*[)\]]"
     out = F.regexp_replace(F.regexp_replace(text, bracketed, " "), bracketed, " ")
-    out = F.regexp_replace(out, rf"\*{{2,}}[^*]{{0,{REMARK}}}\*{{2,}}", " ")
-    return F.regexp_replace(out, r"[-‐­][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
+    return joined_lines(F.regexp_replace(out, r"\*{2,}[^*]*\*{2,}", " "))
 
 
 def _folded(code: int) -> tuple[int, ...]:
