@@ -56,7 +56,7 @@ FORMULA_TEXTS = 8  # different texts that may hold such words and nothing else o
 STRETCH = 20
 BLOCK_BYTES = 4_000_000  # of item text; some ten times that when prepared
 PASS_BLOCKS = 8
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 CHUNK = 100_000
 
 
@@ -142,19 +142,18 @@ def suffix_array(words: np.ndarray, row: np.ndarray) -> Shard:
     rank = np.zeros(n, np.int64)  # 1 + place in the order of the first suffix of equal words
     slots, keys, k = np.arange(n), first, 1
     while len(slots):
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(heads, len(slots)))
+        rank[order[slots]] = np.repeat(slots[heads] + 1, sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]
         places = order[slots]
-        heads = np.concatenate(([True], keys[1:] != keys[:-1]))
-        group = np.cumsum(heads) - 1
-        rank[places] = slots[heads][group] + 1
-        tied = np.bincount(group)[group] > 1
-        slots, places = slots[tied], places[tied]
         beyond = places + k
-        later = np.where(beyond < end[places], rank[np.minimum(beyond, n - 1)], 0)
-        keys = rank[places] * (n + 1) + later
+        going = beyond < end[places]
+        keys = rank[places] * (n + 1)
+        keys[going] += rank[beyond[going]]
         sorting = np.argsort(keys, kind="stable")
-        order[slots], keys = places[sorting], keys[sorting]
-        # a group of suffixes that all end here is one of equal suffixes
-        going = keys % (n + 1) > 0
+        order[slots], keys, going = places[sorting], keys[sorting], going[sorting]
+        # what ends here and is tied is equal, and stays before what goes on
         slots, keys = slots[going], keys[going]
         k *= 2
     return Shard(words, row, end, order, first)
@@ -369,7 +368,7 @@ def leaked(
     schema = T.StructType([
         documents.schema[doc], items.schema[item], *numbers, T.StructField("__of", T.LongType()), T.StructField("__seeds", T.ArrayType(T.LongType())),
     ])
-    texts = documents.select(doc, *_forms(text)).where(F.col(doc).isNotNull() & F.col("__bare").isNotNull())
+    texts = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, *_forms(text))
     spark, out = documents.sparkSession, None
     shared = shared_seeds(items, item_text)
     prepared = (prepare(ids, words, stretch, shared) for ids, words in _blocks(items, item, item_text, block_bytes))
