@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.codepoints import slices
-from palimpsest.llm.words import joined_lines, without_remarks, word_hashes
+from palimpsest.llm.words import forms, joined_lines, word_hashes
 from palimpsest.session import checkpointed
 
 SEED = 6
@@ -114,8 +114,8 @@ def seed_starts(row: np.ndarray) -> np.ndarray:
 
 def prepare(ids: list[int], texts: list[str], stretch: int = STRETCH, shared: np.ndarray | None = None) -> Items:
     """`shared`: seed hashes that FORMULA_ITEMS items or more have."""
-    words, row = word_hashes(pa.array(texts, pa.large_string()))
-    lengths = np.bincount(row, minlength=len(ids)).astype(np.int64)
+    words, row, parent = forms(pa.array(texts, pa.large_string()))
+    lengths = np.bincount(row, minlength=len(parent)).astype(np.int64)
     need = np.minimum(lengths, stretch)
     depth = search_depth(need)
     bounds = np.concatenate(([0], np.cumsum(lengths)))
@@ -126,7 +126,7 @@ def prepare(ids: list[int], texts: list[str], stretch: int = STRETCH, shared: np
     seeds = seed_hashes(words, suffixes)
     own = np.zeros(len(words) + 1, np.int64)
     own[suffixes + 1] = ~np.isin(seeds, [] if shared is None else shared)
-    return Items(np.array(ids, np.int64), words, row, need, depth, np.flatnonzero(searched), bounds, suffixes, seeds, np.cumsum(own))
+    return Items(np.array(ids, np.int64)[parent], words, row, need, depth, np.flatnonzero(searched), bounds, suffixes, seeds, np.cumsum(own))
 
 
 def suffix_array(words: np.ndarray, row: np.ndarray) -> Shard:
@@ -309,20 +309,14 @@ def search(texts: pa.Array, items: Items, stretch: int = STRETCH) -> Found:
     return longest_of(all_matches(suffix_array(*word_hashes(texts)), items, stretch))
 
 
-def _forms(text: str):
-    """The text without remarks, and with them where it has any (else null)."""
-    whole = joined_lines(F.col(text))
-    bare = without_remarks(F.col(text))
-    return bare.alias("__bare"), F.when(bare != whole, whole).alias("__whole")
-
-
 def shared_seeds(items: DataFrame, text: str) -> np.ndarray:
     """Sorted hashes of SEED words in a row that FORMULA_ITEMS items of different folded text have."""
-    texts = items.where(F.col(text).isNotNull()).select(*_forms(text)).distinct()
+    texts = items.where(F.col(text).isNotNull()).select(joined_lines(F.col(text)).alias("__text")).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, row, of = _both(batch.column(0), batch.column(1))
+            words, row, parent = forms(batch.column(0))
+            of = text_hashes(words, row, parent)
             starts = seed_starts(row)
             yield pa.RecordBatch.from_arrays([pa.array(seed_hashes(words, starts)), pa.array(of[row[starts]], pa.int64())], names=["seed", "of"])
 
@@ -330,27 +324,23 @@ def shared_seeds(items: DataFrame, text: str) -> np.ndarray:
     return np.array(sorted(r[0] for r in held.select("seed").collect()), np.int64)
 
 
-def _both(bare: pa.Array, whole: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, row of each, text hash of each row) of texts without remarks and, as rows of their own behind them, with."""
-    words, row = word_hashes(bare)
-    other, behind = word_hashes(whole)
-    bounds = np.searchsorted(row, np.arange(len(bare) + 1))
-    of = np.array([text_hash(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
-    return np.concatenate((words, other)), np.concatenate((row, behind + len(bare))), np.concatenate((of, of))
+def text_hashes(words: np.ndarray, row: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """By row: one hash of the folded text without remarks that it comes from."""
+    bounds = np.searchsorted(row, np.arange(int(parent.max(initial=-1)) + 2))
+    return np.array([text_hash(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)[parent]
 
 
 def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     """Items in blocks of at most `block_bytes`, or of one item; read one partition at a time."""
-    clean = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__id"), *_forms(text)).distinct()
+    clean = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), joined_lines(F.col(text))).distinct()
     ids, texts, held = [], [], 0
     for r in clean.toLocalIterator():
-        forms = [t for t in r[1:] if t is not None]
-        size = sum(len(t.encode()) for t in forms)
+        size = len(r[1].encode())
         if ids and held + size > block_bytes:
             yield ids, texts
             ids, texts, held = [], [], 0
-        ids += [r[0]] * len(forms)
-        texts += forms
+        ids.append(r[0])
+        texts.append(r[1])
         held += size
     if ids:
         yield ids, texts
@@ -368,7 +358,7 @@ def leaked(
     schema = T.StructType([
         documents.schema[doc], items.schema[item], *numbers, T.StructField("__of", T.LongType()), T.StructField("__seeds", T.ArrayType(T.LongType())),
     ])
-    texts = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, *_forms(text))
+    texts = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, joined_lines(F.col(text)).alias("__text"))
     spark, out = documents.sparkSession, None
     shared = shared_seeds(items, item_text)
     prepared = (prepare(ids, words, stretch, shared) for ids, words in _blocks(items, item, item_text, block_bytes))
@@ -377,12 +367,12 @@ def leaked(
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for begin, bare in slices(batch.column(1), SHARD_BYTES):
-                    words, row, of = _both(bare, batch.column(2).slice(begin, len(bare)))
-                    shard = suffix_array(words, row)
+                for begin, part in slices(batch.column(1), SHARD_BYTES):
+                    words, row, parent = forms(part)
+                    shard, of = suffix_array(words, row), text_hashes(words, row, parent)
                     for block in sent:
-                        part = _found_in(shard, block.value, of, stretch)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + part[0])), *part[1:]], names=schema.names)
+                        rows, *columns = _found_in(shard, block.value, of, stretch)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + parent[rows])), *columns], names=schema.names)
 
         part = texts.mapInArrow(work, schema)
         out = part if out is None else out.unionByName(part)
@@ -403,7 +393,7 @@ def _found_in(shard: Shard, items: Items, of: np.ndarray, stretch: int) -> list:
     both = [np.concatenate((getattr(found, n), getattr(doubted, n))) for n in ("row", "number", "longest", "place", "at")]
     known = [None] * len(found.row)
     return [
-        both[0] % (len(of) // 2), pa.array(items.ids[both[1]], pa.int64()), *(pa.array(x, pa.int64()) for x in both[2:]),
+        both[0], pa.array(items.ids[both[1]], pa.int64()), *(pa.array(x, pa.int64()) for x in both[2:]),
         pa.array(known + of[doubted.row].tolist(), pa.int64()), pa.array(known + seeds, pa.list_(pa.int64())),
     ]
 

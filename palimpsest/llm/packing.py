@@ -1,15 +1,23 @@
 """Filling containers of fixed capacity with items of varying size.
 
 Each group (a run, say) packs its own items. Sizes are laid on a grid of the
-capacity, rounded up, and only the histogram over the grid is solved: the
-configuration linear program, by multiplicative weights. Each step prices the
-sizes, finds the best-paying filling of one container with a knapsack dynamic
-program, uses it a number of times rounded to whole containers, and lowers the
-prices of the sizes that it covers. Where that takes more containers than the
-exact sizes ask for, small items (up to SMALL steps) are poured by their exact
-sums into the room that the others leave, so that a container loses less than
-one small item, and the better of both plans holds. Items then take the places of their size by rank, found without sorting
-a group in one task, so a group may hold any share of all rows.
+capacity, rounded up, and only the histogram over the grid is solved, by the
+configuration linear program: how often each filling of a container is used so
+that every size is covered. Multiplicative weights solve it: each step prices
+the sizes, finds the best-paying filling with a knapsack dynamic program, uses
+it a fraction of the times that it could be, and lowers the prices of the
+sizes that it covered. The prices are a dual solution, so each step also gives
+a bound that no packing can beat. The fractional solution is then rounded: its
+whole parts are used, and the rest is filled under the last prices or by best
+fit, whichever takes fewer. It ends where the rounded number is
+within CLOSE of the bound, rounded up, or after ITERATIONS steps.
+
+What all fits into one container by its exact bytes is the one filling of an
+optimal program. Small items (up to SMALL steps) are poured by their exact
+bytes into the room that the others leave, largest first, where that takes
+fewer containers, so that each loses less than the item at its edge. Items
+then take the places of their size by rank, found without sorting a group in
+one task, so a group may hold any share of all rows.
 
 Defined cases: a null or negative size counts 0; a repeated row counts once,
 and of different sizes of an item the largest; an item above the capacity is
@@ -21,6 +29,7 @@ or item values are values like others; an empty table has no containers.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +39,15 @@ from pyspark.sql import types as T
 
 from palimpsest.operators.heavy_keys import with_prefix
 
-GRID = 512
-SMALL = 16  # steps of the grid up to which an item may be poured
+GRID = 2048
+SMALL = 32  # steps of the grid up to which an item may be poured
 POURED = -1  # class of the poured items in a plan; their places are bytes, not ranks
-STEP = 0.5
-ETAS = (0.1, 2.0)
-BLOCK = 65_536
+STEP = 0.25  # share of what its scarcest size needs that a step uses a filling for
+ETA = 2.0  # how fast a size that is covered gets cheaper
+ITERATIONS = 128
+ROUNDED_AFTER = (1, 4, 16, 48, ITERATIONS)
+CLOSE = 0.002  # a packing this near to the bound will do
+BLOCK = 1024  # ranks that share a key of the join with the plan
 
 
 def best_filling(sizes: np.ndarray, most: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
@@ -65,23 +77,51 @@ def best_filling(sizes: np.ndarray, most: np.ndarray, prices: np.ndarray, room:
     return counts
 
 
-def priced_fillings(sizes: np.ndarray, need: np.ndarray, room: int, eta: float, step: float = STEP) -> list[list]:
-    """[filling, times] from the configuration program by multiplicative weights.
+@dataclass
+class Program:
+    """A fractional solution of the configuration program."""
 
-    Prices start at the sizes, the dual of filling without loss. Each step
-    takes the filling that pays best, uses it for a share `step` of what the
-    scarcest size in it still needs, rounded down to whole containers but at
-    least once, and lowers the price of the sizes that it covered by
-    exp(-eta * share covered). It ends with all of `need` covered exactly.
+    fillings: np.ndarray  # one row each: how many of each size
+    times: np.ndarray  # how often each is used, scaled so that they add up to the bound
+    prices: np.ndarray
+    bound: float  # no packing takes fewer containers
+
+
+def program(sizes: np.ndarray, need: np.ndarray, room: int) -> Iterator[Program]:
+    """The solution by multiplicative weights, as it stands after ROUNDED_AFTER steps.
+
+    A size weighs exp(-ETA * how often it was covered); its price is its weight
+    over its need. Prices over the value of the best filling are a solution of
+    the dual, which gives the bound, and so is their mean over the steps. They
+    start at the sizes: the bound is then the volume.
     """
+    base = sizes * need / float(np.dot(sizes, need))
+    covered, bound, used, mean = np.zeros(len(sizes)), 0.0, {}, np.zeros(len(sizes))
+    for step in range(1, ITERATIONS + 1):
+        prices = base * np.exp(-ETA * (covered - covered.min())) / need
+        counts = best_filling(sizes, need, prices, room)
+        prices = prices / float(prices @ counts)
+        bound, mean = max(bound, float(prices @ need)), mean + prices
+        inside = counts > 0
+        times = STEP * float((need[inside] / counts[inside]).min())
+        covered = covered + counts * times / need
+        used[counts.tobytes()] = used.get(counts.tobytes(), 0.0) + times
+        if step in ROUNDED_AFTER:
+            if step > 1:
+                bound = max(bound, float(mean @ need) / float(mean @ best_filling(sizes, need, mean, room)))
+            share = np.array(list(used.values()))
+            fillings = np.frombuffer(b"".join(used), np.int64).reshape(len(used), -1)
+            yield Program(fillings, share * bound / share.sum(), prices, bound)
+
+
+def _priced(sizes: np.ndarray, need: np.ndarray, room: int, prices: np.ndarray) -> list[list]:
+    """[filling, times] that pack `need`: again and again the filling that pays best, as often as half of what is left asks for it."""
     left, out = need.copy(), []
     while left.any():
-        covered, open_ = 1 - left / need, left > 0
-        price = np.where(open_, sizes * np.exp(-eta * (covered - covered[open_].min())), 0.0)
-        counts = best_filling(sizes, left, price, room)
+        counts = best_filling(sizes, left, prices, room)
         inside = counts > 0
-        most = left[inside] / counts[inside]
-        times = min(max(1, int(np.min(most) * step)), int(np.min(most)))
+        most = int((left[inside] // counts[inside]).min())
+        times = max(1, most // 2)
         left = left - counts * times
         out.append([counts, times])
     return out
@@ -105,23 +145,41 @@ def _best_fit(sizes: np.ndarray, need: np.ndarray, room: int) -> list[list]:
     return out
 
 
-def solve(sizes: np.ndarray, need: np.ndarray, room: int) -> list[list]:
-    """[filling, times] that pack all of `need` into the fewest containers found.
+def number_of(fillings: list[list]) -> int:
+    return sum(times for _, times in fillings)
 
-    Where one container, or plain best fit at the lower bound, will do, that
-    is it. Otherwise the priced program is run slow and fast in its prices.
-    """
-    volume = int(np.dot(sizes, need))
-    if volume <= room:
-        return [[need.copy(), 1]]
-    best = _best_fit(sizes, need, room)
-    for eta in ETAS:
-        if sum(t for _, t in best) == -(-volume // room):
+
+def rounded(sizes: np.ndarray, need: np.ndarray, room: int, solution: Program) -> list[list]:
+    """[filling, times] that pack `need`: the whole parts of a solution, most used first, and a packing of the rest."""
+    left, out = need.copy(), []
+    for k in np.argsort(-solution.times, kind="stable"):
+        counts = solution.fillings[k]
+        inside = counts > 0
+        times = int(min(np.floor(solution.times[k]), (left[inside] // counts[inside]).min()))
+        if times > 0:
+            left = left - counts * times
+            out.append([counts, times])
+    rest = _best_fit(sizes, left, room)
+    if not near(number_of(out) + number_of(rest), solution.bound):
+        rest = min(rest, _priced(sizes, left, room, solution.prices), key=number_of)
+    return out + rest
+
+
+def near(number: int, bound: float) -> bool:
+    return number <= np.ceil(bound * (1 + CLOSE) - 1e-6)
+
+
+def solve(sizes: np.ndarray, need: np.ndarray, room: int) -> tuple[list[list], float]:
+    """([filling, times] that pack all of `need`, bound that no packing can beat)."""
+    if int(np.dot(sizes, need)) <= room:
+        return [[need.copy(), 1]], 1.0
+    best, bound = None, 0.0
+    for solution in program(sizes, need, room):
+        bound, tried = solution.bound, rounded(sizes, need, room, solution)
+        best = tried if best is None or number_of(tried) < number_of(best) else best
+        if near(number_of(best), bound):
             break
-        tried = priced_fillings(sizes, need, room, eta)
-        if sum(t for _, t in tried) < sum(t for _, t in best):
-            best = tried
-    return best
+    return best, bound
 
 
 _PLAN = T.ArrayType(T.StructType([
@@ -145,24 +203,34 @@ def _places(sizes: np.ndarray, fillings: list[list]) -> list[dict]:
 def poured(cells: list[dict], capacity: int, grid: int) -> tuple[list[dict], int]:
     """(plan, containers) with the small items by exact size, largest first, in what the others leave.
 
-    An item belongs where its first byte falls; each room is less by the
-    largest small item, so that the last one to begin in it fits.
+    An item belongs where its first byte falls; a room is less by the largest
+    item that can begin in it, so that the last one to begin fits.
     """
-    small = [c for c in cells if c["cls"] <= SMALL]
+    small = sorted((c for c in cells if c["cls"] <= SMALL), key=lambda c: -c["cls"])
     large = [c for c in cells if c["cls"] > SMALL]
     sizes = np.array([c["cls"] for c in large], np.int64)
-    fillings = solve(sizes, np.array([c["n"] for c in large], np.int64), grid) if large else []
+    fillings = solve(sizes, np.array([c["n"] for c in large], np.int64), grid)[0] if large else []
     rows, first, at = _places(sizes, fillings), 0, 0
-    most, least, total = max(c["most"] for c in small), min(c["least"] for c in small), sum(c["sum"] for c in small)
-    rooms = [(capacity * (grid - int(counts @ sizes)) // grid - most + 1, times) for counts, times in fillings]
-    each = capacity - most + 1
-    for room, times in [*rooms, (each, None)]:
-        if times is None:
-            times = max(0, total - least - at + each) // each
-        if room >= most and at < total and times:
-            rows.append({"cls": POURED, "from": at, "to": min(at + room * times, total), "container": first, "each": room})
-            at += room * times
-        first += times
+    ends = np.cumsum([c["sum"] for c in small]).tolist()
+    total = ends[-1]
+    free = [(capacity * (grid - int(counts @ sizes)) // grid, times) for counts, times in fillings]
+    for space, times in [*free, (capacity, None)]:
+        while at < total and times != 0:
+            k = next(k for k, end in enumerate(ends) if at < end)
+            largest, begin = small[k]["most"], ends[k - 1] if k else 0
+            room = space - largest + 1
+            if small[k]["least"] == largest and (at - begin) % largest == 0:
+                room = space // largest * largest
+            if room < largest:
+                break
+            # the last container takes what is left where all of it fits by bytes
+            last = times is None and total - at <= space and at == begin
+            n = 1 if last else -(-(ends[k] - at) // room)
+            n = n if times is None else min(n, times)
+            room = total - at if last else room
+            rows.append({"cls": POURED, "from": at, "to": min(at + room * n, total), "container": first, "each": room})
+            at, first, times = at + room * n, first + n, None if times is None else times - n
+        first += times or 0
     return rows, first
 
 
@@ -174,8 +242,11 @@ def _planned(cells: list[dict], capacity: int | None, grid: int) -> tuple[list[d
     if cells:
         sizes, need = (np.array([c[k] for c in cells], np.int64) for k in ("cls", "n"))
         total = sum(c["sum"] for c in cells)
-        fillings = [[need, 1]] if capacity and total <= capacity else solve(sizes, need, grid)
-        rows, number = _places(sizes, fillings), sum(t for _, t in fillings)
+        if capacity and total <= capacity:
+            rows, number = _places(sizes, [[need, 1]]), 1
+        else:
+            fillings, _ = solve(sizes, need, grid)
+            rows, number = _places(sizes, fillings), number_of(fillings)
         if capacity and number > -(-total // capacity) and cells[0]["cls"] <= SMALL:
             other, fewer = poured(cells, capacity, grid)
             rows, number = (other, fewer) if fewer < number else (rows, number)

@@ -21,16 +21,44 @@ from palimpsest.llm.lookalikes import shown
 SEPARATOR = 0x20
 
 
+OPENING, CLOSING, STAR = (np.array([ord(c) for c in x], np.uint32) for x in ("([", ")]", "*"))
+
+
 def joined_lines(text: Column) -> Column:
     """Line-end hyphens joined."""
     return F.regexp_replace(text, r"[-‐­][ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
 
 
-def without_remarks(text: Column) -> Column:
-    """Bracketed remarks (one may interrupt another) and asterisked ones out, line-end hyphens joined."""
-    bracketed = r"[(\[][^()\[\]]*[)\]]"
-    out = F.regexp_replace(F.regexp_replace(text, bracketed, " "), bracketed, " ")
-    return joined_lines(F.regexp_replace(out, r"\*{2,}[^*]*\*{2,}", " "))
+def in_remarks(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a bracketed remark (one may interrupt another) or one between runs of asterisks is, of any length.
+
+    What opens and is not closed in its row is no remark.
+    """
+    begins, ends = [], []
+    marks = np.flatnonzero(np.isin(codes, np.concatenate((OPENING, CLOSING))))
+    for _ in range(2):
+        opens = np.isin(codes[marks], OPENING)
+        row = np.searchsorted(offsets, marks, "right")
+        pair = np.flatnonzero(opens[:-1] & ~opens[1:] & (row[:-1] == row[1:])) if len(marks) > 1 else np.zeros(0, np.int64)
+        begins.append(marks[pair])
+        ends.append(marks[pair + 1])
+        marks = np.delete(marks, np.concatenate((pair, pair + 1)))
+    stars = np.flatnonzero(codes == STAR[0])
+    if len(stars):
+        row = np.searchsorted(offsets, stars, "right")
+        heads = np.flatnonzero(np.concatenate(([True], (np.diff(stars) > 1) | (row[1:] != row[:-1]))))
+        many = np.diff(np.append(heads, len(stars))) > 1
+        # from one run of at least two to the next; every second stretch between such runs is text again
+        follows = np.flatnonzero(many[:-1] & many[1:] & (row[heads[:-1]] == row[heads[1:]]))
+        chain = np.cumsum(np.concatenate(([True], np.diff(follows) > 1))) if len(follows) else follows
+        place = np.arange(len(follows)) - np.searchsorted(chain, chain)
+        follows = follows[place % 2 == 0]
+        begins.append(stars[heads[follows]])
+        ends.append(stars[heads[follows + 1]])
+    depth = np.zeros(len(codes) + 1, np.int32)
+    np.add.at(depth, np.concatenate(begins), 1)
+    np.add.at(depth, np.concatenate(ends) + 1, -1)
+    return np.cumsum(depth)[:-1] > 0
 
 
 def _folded(code: int) -> tuple[int, ...]:
@@ -58,24 +86,30 @@ def _powers() -> np.ndarray:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, row of each word), in text order."""
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    return marked_words(column, False)[:2]
+
+
+def marked_words(column: pa.Array, remarks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, row of each word, whether it is in a remark), in text order."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for first, part in slices(column):
-        h, r = _word_hashes(part)
-        hashes.append(h)
-        rows.append(r + first)
-    return np.concatenate(hashes), np.concatenate(rows)
+        h, r, m = _word_hashes(part, remarks)
+        parts.append((h, r + first, m))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(column: pa.Array, remarks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, offsets, _ = to_codes(column)
-    codes, offsets = folding().apply(codes, offsets)
+    table = folding()
+    marked = np.repeat(in_remarks(codes, offsets), table.length[codes]) if remarks else None
+    codes, offsets = table.apply(codes, offsets)
     inside = codes != SEPARATOR
     heads = row_heads(len(codes), offsets)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | heads[1:]
     places = np.flatnonzero(inside)
     if not len(places):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     number = np.cumsum(begins[places]) - 1
     starts = np.flatnonzero(begins)
     letters = codes[places].astype(np.uint64) + np.uint64(1)
@@ -85,4 +119,15 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums *= np.uint64(0xBF58476D1CE4E5B9)
     sums ^= sums >> np.uint64(32)
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    return sums, rows
+    return sums, rows, marked[starts] if remarks else np.zeros(len(starts), bool)
+
+
+def forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, row of each, parent of each row): every text without its remarks, as row i,
+    and each text that has any once more with them, as a row behind all of those."""
+    words, row, marked = marked_words(column)
+    held = np.unique(row[marked])
+    again = np.flatnonzero(np.isin(row, held)) if len(held) else np.zeros(0, np.int64)
+    behind = len(column) + np.searchsorted(held, row[again])
+    bare = ~marked
+    return np.concatenate((words[bare], words[again])), np.concatenate((row[bare], behind)), np.concatenate((np.arange(len(column)), held))

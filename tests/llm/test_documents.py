@@ -259,3 +259,21 @@ def test_mixture(spark):
     again = mixture(d.repartition(7), t, "doc_id", "source", "text", block_tokens=200, shard_tokens=1000)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in rows}
     assert mixture(d.where("false"), t, "doc_id", "source", "text").count() == 0 == mixture(d, t.where("false"), "doc_id", "source", "text").count()
+
+
+def test_remarks_equal_plain():
+    from palimpsest.llm.codepoints import to_codes
+    from palimpsest.llm.words import in_remarks
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab ()[]**") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [""]
+    codes, offsets, _ = to_codes(pa.array(texts))
+    inside = in_remarks(codes, offsets)
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        plain, left = [False] * len(text), text
+        for pattern in (r"[(\[][^()\[\]]*[)\]]",) * 2 + (r"\*{2,}[^*]*\*{2,}",):
+            for m in re.finditer(pattern, text if "{2,}" in pattern else left):
+                plain[m.start() : m.end()] = [True] * (m.end() - m.start())
+            left = re.sub(pattern, lambda m: "_" * len(m[0]), left)
+        letters = [i for i, c in enumerate(text) if c in "ab"]
+        assert [inside[a + i] for i in letters] == [plain[i] for i in letters], text
