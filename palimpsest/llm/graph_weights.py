@@ -5,9 +5,11 @@ an edge, and a term weighs as much as it has distinct neighbours: saying it
 twice in one spot adds nothing, saying it all over the record does. The weight
 is multiplied by how rare the term is in the collection, ln((N + 1) / n).
 
-`term_degrees` reads token sequences. An index keeps no sequence but the number
-of places of a term (`count`) among those of its record (`length`); `reach`
-lays the occurrences out evenly and builds the same edges.
+`term_degrees` builds the edges of token sequences. An index keeps no sequence,
+only how often a term stands (`count`) in a record and how many distinct words
+that has (`length`), so edges of hits cannot be built; `most_neighbours` is the
+degree that the count still allows, two neighbours an occurrence and no more
+than the record has words. A term of full degree can stand beside every word.
 """
 
 from __future__ import annotations
@@ -73,19 +75,13 @@ def term_degrees(records: DataFrame, record: str, tokens: str, window: int = 4)
     return records.select(record, F.col(tokens).cast("array<string>")).mapInArrow(work, schema)
 
 
-def reach(count: Column, length: Column, window: int) -> Column:
-    """Places of a record that are an occurrence of the term or its neighbours.
+def most_neighbours(count: Column, length: Column, window: int = 1) -> Column:
+    """The greatest degree of a term with `count` occurrences in a record of `length` words.
 
-    Occurrence i of `count` stands at place i * length / count (whole
-    division); more occurrences than places fill all places. Null or below 1
-    on either side gives 0.
+    Null or below 1 on either side gives 0.
     """
-    c = F.least(count, length)
-    at = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda i: F.floor(i * length / c).cast("long"))
-    near = F.flatten(
-        F.transform(at, lambda p: F.sequence(F.greatest(p - window, F.lit(0)), F.least(p + window, length - 1)))
-    )
-    return F.when((c >= 1) & length.isNotNull() & count.isNotNull(), F.size(F.array_distinct(near))).otherwise(0).cast("long")
+    degree = F.least(count * (2 * window), length)
+    return F.when((count >= 1) & (length >= 1), degree).otherwise(0).cast("long")
 
 
 def rarity(n_records: Column, total: Column | int) -> Column:
@@ -98,8 +94,8 @@ def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: in
     """Score of every (path_id, word) of `hits`.
 
     `hits`: path_id, word, count. `lengths`: path_id, length. `counts`: term,
-    n_records. Result: path_id, word, count, length, n_paths, reach, score with
-    score = reach / length * rarity. Of several hits of a word and path the
+    n_records. Result: path_id, word, count, length, n_paths, degree, score with
+    score = degree / length * rarity. Of several hits of a word and path the
     largest count holds. Hits without word, path, count or length are left out.
     """
     best = (
@@ -109,9 +105,9 @@ def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: in
     known = lengths.where("length > 0").select("path_id", "length")
     rare = counts.select(F.col("term").alias("word"), F.col("n_records").alias("n_paths"))
     rows = best.join(known, "path_id").join(rare, "word", "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0)))
-    rows = rows.withColumn("reach", reach(F.col("count"), F.col("length"), window))
-    score = F.round(F.col("reach") / F.col("length") * rarity(F.col("n_paths"), total), 6)
-    return rows.select("path_id", "word", "count", "length", "n_paths", "reach", score.alias("score"))
+    rows = rows.withColumn("degree", most_neighbours(F.col("count"), F.col("length"), window))
+    score = F.round(F.col("degree") / F.col("length") * rarity(F.col("n_paths"), total), 6)
+    return rows.select("path_id", "word", "count", "length", "n_paths", "degree", score.alias("score"))
 
 
 def key_terms(records: DataFrame, record: str, tokens: str, most: int = 3, window: int = 4) -> DataFrame:

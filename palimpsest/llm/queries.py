@@ -12,7 +12,7 @@ from palimpsest.llm.leakage import leaked, without_leaks
 from palimpsest.llm.lookalikes import alike_pairs, merged_entries
 from palimpsest.llm.mixing import mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
-from palimpsest.llm.splitting import bodies, pieces
+from palimpsest.llm.splitting import bodies, pieces, rejoined
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
 from palimpsest.queries_index import _folded_sql
 from palimpsest.session import read_spread, read_table, sized_broadcast
@@ -60,9 +60,8 @@ SELECT DISTINCT h.path_id, h.word FROM hits h JOIN len ON len.path_id = h.path_i
 WHERE len.n > 0 AND coalesce(df.n, 0) <= 8 AND 2 * h.count >= len.n
 """)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    # a word on half of the places has every place of the record beside it
-    full = hit_scores(spark, folder).where("reach = length AND n_paths <= 8")
-    return full.where("2 * count >= length").select("path_id", "word")
+    # full degree: the word can stand beside every other of the path
+    return hit_scores(spark, folder).where("degree = length AND n_paths <= 8").select("path_id", "word")
 
 
 @query("""
@@ -72,12 +71,11 @@ p AS (SELECT word, path_id FROM postings WHERE word IS NOT NULL AND path_id <> 0
 total AS (SELECT count(DISTINCT path_id) AS n FROM p),
 df AS (SELECT word, count(DISTINCT path_id) AS n FROM p GROUP BY word),
 len AS (SELECT path_id, arg_max(paths_count, combined_at) AS n FROM index_combine_data WHERE paths_count IS NOT NULL GROUP BY path_id),
-j AS (SELECT h.path_id, h.word, h.count, len.n AS length, coalesce(df.n, 0) AS n_paths, least(h.count, len.n) AS c
-      FROM hits h JOIN len ON len.path_id = h.path_id LEFT JOIN df ON df.word = h.word WHERE len.n > 0),
-r AS (SELECT *, CAST(CASE WHEN c < 1 THEN 0 ELSE len(list_distinct(flatten(list_transform(range(c), lambda i:
-             range(greatest((i * length) // c - 1, 0), least((i * length) // c + 1, length - 1) + 1))))) END AS BIGINT) AS reach FROM j)
-SELECT path_id, word, count, length, n_paths, reach,
-       round(reach / length * ln(((SELECT n FROM total) + 1) / greatest(n_paths, 1)), 6) AS score FROM r
+j AS (SELECT h.path_id, h.word, h.count, len.n AS length, coalesce(df.n, 0) AS n_paths,
+             CAST(CASE WHEN h.count >= 1 THEN least(2 * h.count, len.n) ELSE 0 END AS BIGINT) AS degree
+      FROM hits h JOIN len ON len.path_id = h.path_id LEFT JOIN df ON df.word = h.word WHERE len.n > 0)
+SELECT path_id, word, count, length, n_paths, degree,
+       round(degree / length * ln(((SELECT n FROM total) + 1) / greatest(n_paths, 1)), 6) AS score FROM j
 """)
 def p1_hit_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hit_scores(spark, folder)
@@ -154,7 +152,7 @@ SELECT DISTINCT path FROM files f JOIN lim ON lim.run_id = f.run_id WHERE octet_
 """)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = limited_files(spark, folder).withColumn("n_pieces", F.size(bodies(F.col("content"), F.col("run_limit"))))
-    return cut.where("n_pieces > 1 AND octet_length(content) > run_limit").select("path").distinct()
+    return cut.where("n_pieces > 1").select("path").distinct()
 
 
 @query()
@@ -162,6 +160,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(limited_files(spark, folder), "content", "run_limit")
 
 
+@query("""
+WITH lim AS (SELECT run_id, max(CASE WHEN coalesce(config_threads_to_use, 1) >= 1
+             THEN coalesce(config_local_index_memory, 50000) // coalesce(config_threads_to_use, 1) END) AS run_limit FROM run_config GROUP BY run_id)
+SELECT DISTINCT f.run_id, path, octet_length(content) AS n_bytes, md5(content) AS digest, CAST(0 AS BIGINT) AS n_too_long,
+       CAST(0 AS BIGINT) AS n_misplaced, CAST(0 AS BIGINT) AS n_wrong_overlaps, coalesce(octet_length(content) > run_limit, false) AS cut
+FROM files f LEFT JOIN lim ON lim.run_id = f.run_id WHERE octet_length(content) > 0
+""")
+def p4_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds of the pieces of each file: they join to the whole, fit and overlap as they should."""
+    return rejoined(limited_files(spark, folder).distinct(), ["run_id", "path"], "content", "run_limit")
+
+
 # ---- 5: look-alikes
 
 

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from palimpsest.llm.splitting import pieces
+from pyspark.sql import functions as F
+
+from palimpsest.llm.splitting import BLOCK, pieces, prefix_sums, rejoined
 
 SCHEMA = "k long, content binary, limit long, start int"
 
@@ -61,3 +63,23 @@ def test_very_long_and_repeated(spark):
     got = cut(spark, (long, 6000), (long[:7000], 6000), (long[:7000], 6000))
     check(long, 6000, got[0])
     assert got[1] == got[2] and len(got[1]) == 2
+
+
+def test_prefix_sums_across_blocks(spark):
+    for n in (0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 7):
+        values = [(7 * i) % 11 for i in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<bigint>")
+        assert df.select(prefix_sums(F.col("v"))).first()[0] == [sum(values[:i]) for i in range(n)]
+
+
+def test_many_pieces(spark):
+    content = b"one two three four\n" * 20_000
+    found = cut(spark, (content, 40))[0]
+    check(content, 40, found)
+    assert len(found) > 9 * BLOCK
+    df = spark.createDataFrame([(1, bytearray(content), 40), (2, bytearray(b"short"), 40), (3, bytearray(b""), 40), (4, None, 40), (5, bytearray(b"x" * 90), None)], "k long, content binary, limit long")
+    got = {r["k"]: tuple(r)[1:] for r in rejoined(df, ["k"], "content", "limit").collect()}
+    import hashlib
+
+    whole = lambda c, n: (len(c), hashlib.md5(c).hexdigest(), 0, 0, 0, n)
+    assert got == {1: whole(content, True), 2: whole(b"short", False), 5: whole(b"x" * 90, False)}

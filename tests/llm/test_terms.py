@@ -2,10 +2,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm.graph_weights import reach, term_degrees, weigh_hits
+from palimpsest.llm.graph_weights import degrees, most_neighbours, term_degrees, weigh_hits
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
 
 
@@ -42,18 +43,19 @@ def test_null_tokens_and_empty(spark):
     assert term_degrees(rows.where("false"), "id", "words").count() == 0
 
 
-def test_reach_equals_plain(spark):
-    cases = [(c, n) for c in (None, 0, 1, 2, 3, 7, 12, 40) for n in (None, 0, 1, 2, 5, 12, 30)]
+def test_most_neighbours(spark):
+    """No record gives a term more neighbours; one that spreads it out gives it as many."""
+    cases = [(c, n) for c in (None, 0, -1, 1, 2, 3, 7) for n in (None, 0, 1, 2, 5, 9)]
     rows = spark.createDataFrame(cases, "c long, n long")
-    for window in (1, 3):
-        for r in rows.select("c", "n", reach(F.col("c"), F.col("n"), window).alias("r")).collect():
-            c, n = r["c"], r["n"]
-            want = 0
-            if c and n:
-                c = min(c, n)
-                at = [i * n // c for i in range(c)]
-                want = sum(any(abs(p - q) <= window for q in at) for p in range(n))
-            assert r["r"] == want
+    for r in rows.select("c", "n", most_neighbours(F.col("c"), F.col("n"), 2).alias("r")).collect():
+        assert r["r"] == (min(4 * r["c"], r["n"]) if (r["c"] or 0) > 0 and r["n"] else 0)
+    rng = random.Random(6)
+    records = [[rng.choice(["x", *"abcdefgh"]) for _ in range(rng.randint(1, 20))] for _ in range(300)] + [list("axbcxdexf")]
+    row, code, times, near, terms = degrees(pa.array(records), 1)
+    terms = terms.to_pylist()
+    for r, c, t, n in zip(row, code, times, near):
+        assert n <= min(2 * t, len(set(records[r])))
+    assert [(t, n) for r, c, t, n in zip(row, code, times, near) if r == 300 and terms[c] == "x"] == [(3, 6)]
 
 
 def test_scores(spark):
@@ -62,7 +64,7 @@ def test_scores(spark):
     counts = spark.createDataFrame([("rare", 2), ("common", 90)], "term string, n_records long")
     got = {(r["path_id"], r["word"]): r for r in weigh_hits(hits, lengths, counts, 100).collect()}
     assert set(got) == {(1, "rare"), (1, "common"), (4, "new")}
-    assert got[1, "rare"]["count"] == 6 and got[1, "rare"]["reach"] == 12
+    assert got[1, "rare"]["count"] == 6 and got[1, "rare"]["degree"] == 12
     assert got[1, "rare"]["score"] == pytest.approx(math.log(101 / 2), abs=1e-6)
     assert got[1, "rare"]["score"] > got[1, "common"]["score"] > 0
     assert got[4, "new"]["n_paths"] == 0
