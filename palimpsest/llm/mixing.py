@@ -9,9 +9,12 @@ BLOCK_TOKENS. One block of one pass is a unit. How many units of each source an
 output shard gets is drawn by a splitting tree: the units of a node are split
 between its two halves by a multivariate hypergeometric draw, down to single
 shards, so that the quotas add up exactly and look like one large shuffle.
-Units are dealt to the quotas in a permuted order, which makes the draws
-disjoint, and each shard is shuffled in itself. Places inside a source come
-from stitched prefix sums: no source, however large, meets in one task.
+Every node draws from a generator seeded by its address, so an executor finds
+the shard of a unit by walking down from the root, and no table of quotas is
+made anywhere. Units are dealt in an order permuted by a keyed Feistel network,
+which makes the draws disjoint, and each shard is shuffled in itself. Places
+inside a source come from stitched prefix sums: no source, however large,
+meets in one task.
 
 Defined cases: rows with a null id or source, or a source without target, take
 no part; repeated rows count once; null text has no tokens; targets are
@@ -42,6 +45,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK_TOKENS = 20_000
 SHARD_TOKENS = 1_000_000
 MAX_TARGETS = 10_000
+SAMPLER = 10**9  # numpy's hypergeometric sampler takes less than so many
 
 MIXTURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType()),
@@ -94,42 +98,108 @@ def quotas(targets: dict[str, tuple[float, int]], sizes: dict[str, int], total:
     return out
 
 
-def split_units(units: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, sources): units of each source for each shard; columns add up to `units`."""
-    out = np.zeros((shards, len(units)), np.int64)
-    nodes = [(0, shards, units.astype(np.int64))]
-    while nodes:
-        first, last, held = nodes.pop()
-        if last - first == 1:
-            out[first] = held
-            continue
-        middle = (first + last) // 2
-        take = int(held.sum()) * (middle - first) // (last - first)
-        left = _draw(held, take, rng)
-        nodes += [(first, middle, left), (middle, last, held - left)]
-    return out
+def node_draw(held: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """Units of each source that the left half of the node over shards first..last-1 gets of those it holds."""
+    rng = np.random.default_rng([seed, first, last])
+    left, total = (first + last) // 2 - first, int(held.sum())
+    return multivariate(held, total * left // (last - first), rng)
 
 
-def _draw(held: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+def multivariate(held: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """A multivariate hypergeometric draw, one source at a time (the draws of each are hypergeometric)."""
     out, rest = np.zeros_like(held), int(held.sum())
     for i, n in enumerate(held.tolist()):
         rest -= n
         if take and n:
-            # beyond what the sampler takes, the mean: the relative error is below 1e-4 there
-            out[i] = rng.hypergeometric(n, rest, take) if n < 10**9 and rest < 10**9 else round(take * n / (n + rest))
+            out[i] = hypergeometric(n, rest, take, rng)
         take -= int(out[i])
     return out
 
 
-def _spread(unit: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """A permutation of 0..count-1 at `unit`: a step that shares no divisor with count."""
-    if count < 3:
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` units drawn from `good` and `bad` ones are good."""
+    if good < SAMPLER and bad < SAMPLER:
+        return int(rng.hypergeometric(good, bad, take))
+    return by_rejection(good, bad, take, rng)
+
+
+def by_rejection(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """The same distribution by ratio of uniforms under its density, for numbers of any size."""
+    total = good + bad
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    mean = take * good / total
+    spread = math.sqrt(max(0.0, mean * (bad / total) * (total - take) / max(1, total - 1)) + 0.5)
+    mode = min(high, max(low, (take + 1) * (good + 1) // (total + 2)))
+
+    def log_density(k: int) -> float:
+        """Relative to the mode, by ratios of factorials that are near each other."""
+        rises = ((good, mode, k), (bad, take - mode, take - k))
+        return sum(_log_choose_ratio(n, a, b) for n, a, b in rises)
+
+    width = 1.7156 * spread + 0.8989  # fixed values: 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), which cover the density
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = mean + 0.5 + width * (v - 0.5) / u
+        if low <= x < high + 1 and 2 * math.log(u) <= log_density(int(x)):
+            return int(x)
+
+
+def _log_choose_ratio(n: int, a: int, b: int) -> float:
+    """log of (n choose b) over (n choose a), exact to rounding also where both are huge."""
+    return _log_factorial_ratio(a, b) + _log_factorial_ratio(n - a, n - b)
+
+
+def _log_factorial_ratio(a: int, b: int) -> float:
+    """log(a! / b!)."""
+    if abs(a - b) < 64:
+        low, high = sorted((a, b))
+        value = sum(math.log(x) for x in range(low + 1, high + 1))
+        return value if a > b else -value
+    if min(a, b) < 1000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    # Stirling's series, with what is near equal taken together
+    x, y = a + 0.5, b + 0.5
+    return (a - b) * math.log(y) + x * math.log1p((a - b) / y) - (a - b) - (1 / x - 1 / y) / 24
+
+
+def shards_of(source: int, unit: np.ndarray, units: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """The shard of each unit of a source, by walking the splitting tree: all units at a node go down together."""
+    out = np.zeros(len(unit), np.int64)
+    nodes = [(0, shards, units.astype(np.int64), np.arange(len(unit)), unit.astype(np.int64))]
+    while nodes:
+        first, last, held, which, place = nodes.pop()
+        if last - first == 1:
+            out[which] = first
+            continue
+        left = node_draw(held, first, last, seed)
+        down = place < left[source]
+        middle = (first + last) // 2
+        if down.any():
+            nodes.append((first, middle, left, which[down], place[down]))
+        if not down.all():
+            nodes.append((middle, last, held - left, which[~down], place[~down] - left[source]))
+    return out
+
+
+def permuted(unit: np.ndarray, count: int, key: int) -> np.ndarray:
+    """A keyed random permutation of 0..count-1 at `unit`: a Feistel network, walked until inside."""
+    if count < 2:
         return unit
-    step = int(count * 0.6180339887) | 1
-    while math.gcd(step, count) != 1:
-        step += 1
-    return (unit * step + seed % count) % count
+    half = max(1, ((count - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    out, outside = unit.astype(np.uint64), np.arange(len(unit))
+    while len(outside):
+        x = out[outside]
+        for turn in range(8):
+            mixed = (x & mask) + np.uint64((key * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) & (2**64 - 1))
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = ((x & mask) << np.uint64(half)) | ((x >> np.uint64(half)) ^ ((mixed >> np.uint64(20)) & mask))
+        out[outside] = x
+        outside = outside[x >= count]
+    return out.astype(np.int64)
 
 
 def mixture(
@@ -158,8 +228,6 @@ def mixture(
     last_pass = np.array([-(-q.rest // block_tokens) for q in plan], np.int64)
     units = np.array([q.passes for q in plan], np.int64) * per_pass + last_pass
     shards = max(1, round(sum(q.want for q in plan) / shard_tokens))
-    quota = split_units(units, shards, np.random.default_rng(seed))
-    sent = spark.sparkContext.broadcast(np.cumsum(quota, axis=0))
     number = {q.source: i for i, q in enumerate(plan)}
 
     parts = spark.createDataFrame(
@@ -179,8 +247,9 @@ def mixture(
         out = np.zeros(len(n), np.int64)
         for i in np.unique(n):
             own = n == i
-            unit = np.minimum(c[own] * per_pass[i] + b[own], units[i] - 1)
-            out[own] = np.searchsorted(sent.value[:, i], _spread(unit, int(units[i]), seed), side="right")
+            unit, back = np.unique(np.minimum(c[own] * per_pass[i] + b[own], units[i] - 1), return_inverse=True)
+            place = permuted(unit, int(units[i]), seed * MAX_TARGETS + int(i))
+            out[own] = shards_of(int(i), place, units, shards, seed)[back]
         return pa.array(out)
 
     dealt = copies.withColumn("shard", shard_of("number", "copy", "block"))
@@ -199,3 +268,17 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", tokens.alias("tokens"), F.round(F.coalesce("__share", F.lit(0.0)), 6).alias("share"),
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
+
+
+def kept_rules(mixed: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(source, target_share, near, within_repeats, n_twice) for each row of `targets`: whether the share is
+    within `tolerance`, whether no document comes oftener than it may, and places or copies that are there twice."""
+    by = mixed.groupBy("source").agg(
+        F.sum("tokens").alias("__tokens"), (F.max("copy") + 1).alias("__most"),
+        (2 * F.count(F.lit(1)) - F.count_distinct("doc_id", "copy") - F.count_distinct("shard", "place")).alias("__twice"),
+    )
+    whole = by.withColumn("__share", F.col("__tokens") / F.sum("__tokens").over(Window.partitionBy()))
+    return targets.join(whole, "source", "left").select(
+        "source", "target_share", (F.abs(F.coalesce("__share", F.lit(0.0)) - F.col("target_share")) <= tolerance).alias("near"),
+        (F.coalesce("__most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("__twice", F.lit(0)).alias("n_twice"),
+    )

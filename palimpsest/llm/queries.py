@@ -10,7 +10,7 @@ from palimpsest.llm.graph_weights import key_terms, weigh_hits
 from palimpsest.llm.keyword_pages import keyword_pages, scored
 from palimpsest.llm.leakage import leaked, without_leaks
 from palimpsest.llm.lookalikes import alike_pairs, merged_entries
-from palimpsest.llm.mixing import mixture, shares
+from palimpsest.llm.mixing import kept_rules, mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces, rejoined
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
@@ -272,3 +272,9 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p9_mixture(spark, folder), read_table(spark, folder, "mix_targets"))
+
+
+@query("SELECT source, target_share, true AS near, true AS within_repeats, CAST(0 AS BIGINT) AS n_twice FROM mix_targets")
+def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """That the mixture keeps to its targets, document by document."""
+    return kept_rules(p9_mixture(spark, folder), read_table(spark, folder, "mix_targets"))

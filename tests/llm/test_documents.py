@@ -7,7 +7,7 @@ import pytest
 
 from palimpsest.llm.keyword_pages import chunks, keyword_pages, scored, train
 from palimpsest.llm.leakage import leaked, prepare, search, search_depth, suffix_array, without_leaks
-from palimpsest.llm.mixing import mixture, quotas, shares, split_units
+from palimpsest.llm.mixing import by_rejection, kept_rules, mixture, permuted, quotas, shards_of, shares
 from palimpsest.llm.words import word_hashes
 
 VOCABULARY = [f"{a}{b}" for a in ("wa", "ro", "mi", "tel", "ba", "shu") for b in ("ler", "din", "ko", "vas", "pe", "nost", "ti")]
@@ -229,12 +229,46 @@ def test_quotas_reach_the_shares():
     assert sum(q.want for q in quotas({"a": (1.0, 1)}, {"a": 500}, total=100)) == 100
 
 
+def quota_table(units, shards, seed):
+    return np.stack([np.bincount(shards_of(i, np.arange(n), units, shards, seed), minlength=shards) for i, n in enumerate(units.tolist())], axis=1)
+
+
 def test_splitting_tree_is_exact_and_even():
     units = np.array([700, 300, 24])
-    out = split_units(units, 13, np.random.default_rng(1))
-    assert out.sum(0).tolist() == units.tolist() and (out >= 0).all() and np.ptp(out.sum(1)) <= 4
-    draws = np.stack([split_units(units, 4, np.random.default_rng(s))[0] for s in range(400)])
+    out = quota_table(units, 13, 1)
+    assert out.sum(0).tolist() == units.tolist() and np.ptp(out.sum(1)) <= 4
+    draws = np.stack([quota_table(units, 4, s)[0] for s in range(400)])
     assert np.allclose(draws.mean(0), units / 4, rtol=0.06)
+    n, k, total = 300, 256, 1024  # the spread, too, is that of a hypergeometric draw
+    assert draws[:, 1].var() == pytest.approx(k * (n / total) * (1 - n / total) * (total - k) / (total - 1), rel=0.3)
+    assert shards_of(1, np.array([5, 200]), units, 13, 1).tolist() == shards_of(1, np.arange(300), units, 13, 1)[[5, 200]].tolist()
+
+
+def test_units_walk_a_very_large_tree():
+    units = np.array([9 * 10**11, 4 * 10**10, 3])
+    place = np.array([0, 10**10, 10**10 + 1, 4 * 10**10 - 1])
+    out = shards_of(1, place, units, 25_000_000, 7)
+    assert (np.diff(out) >= 0).all() and 0 <= out.min() and out.max() < 25_000_000 and abs(out[1] / 25_000_000 - 0.25) < 1e-4
+
+
+@pytest.mark.parametrize(("good", "bad", "take"), [(300, 700, 200), (5, 2000, 900), (40_000, 60_000, 30_000), (3, 2, 4), (900, 30, 400)])
+def test_rejection_draws_the_same(good, bad, take):
+    rng = np.random.default_rng(3)
+    own = np.array([by_rejection(good, bad, take, rng) for _ in range(4000)])
+    plain = rng.hypergeometric(good, bad, take, 4000)
+    spread = max(plain.std(), 0.2)
+    assert abs(own.mean() - plain.mean()) < 5 * spread / 4000**0.5 + 1e-9 and own.std() == pytest.approx(plain.std(), rel=0.08, abs=0.02)
+    assert own.min() >= max(0, take - bad) and own.max() <= min(good, take)
+    assert np.abs(np.quantile(own, [0.1, 0.5, 0.9]) - np.quantile(plain, [0.1, 0.5, 0.9])).max() <= 1 + 0.1 * spread
+
+
+def test_permutation_is_one_and_looks_random():
+    for count in (1, 2, 3, 10, 1000, 4097):
+        assert sorted(permuted(np.arange(count), count, 5).tolist()) == list(range(count))
+    one, other = (permuted(np.arange(4000), 4000, k) for k in (1, 2))
+    assert (one != other).mean() > 0.99 and abs(np.corrcoef(np.arange(4000), one)[0, 1]) < 0.06
+    steps = np.diff(one) % 4000
+    assert np.unique(steps).size > 2000 and abs(np.corrcoef(one, other)[0, 1]) < 0.06
 
 
 def test_mixture(spark):
@@ -256,6 +290,8 @@ def test_mixture(spark):
     assert len(shards) > 2
     for s in shards:
         assert sorted(r["place"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    rules = {r["source"]: tuple(r)[2:] for r in kept_rules(out, t, 0.02).collect()}
+    assert rules == {"big": (True, True, 0), "mid": (True, True, 0), "low": (True, True, 0), "absent": (False, True, 0)}
     again = mixture(d.repartition(7), t, "doc_id", "source", "text", block_tokens=200, shard_tokens=1000)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in rows}
     assert mixture(d.where("false"), t, "doc_id", "source", "text").count() == 0 == mixture(d, t.where("false"), "doc_id", "source", "text").count()
