@@ -28,12 +28,24 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.codepoints import LIMIT, CharTable, keep, replacements, row_heads, slices, to_codes, to_text
 
-#: Letters of other scripts, and rare Latin ones, with the Latin letter that they look like.
-LOOKALIKE = dict(zip(
-    "аеорсухѕіјһԛԝԁӏգᴏᴠᴡᴢᴄɡɑ" "АВЕКМНОРСТХЅІЈԚԜӀЗ" "οϲϳνρυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "օսհոցյ" "ՕՍ" "‐ʼ",
-    "aeopcyxsijhqwdlqovwzcga" "ABEKMHOPCTXSIJQWI3" "ocjvpu" "ABEZHIKMNOPTYXCJ" "ouhngj" "OU" "-’",
-))
-LOOKALIKE.pop("З")  # a digit's shape, but a letter's place: left as it is
+#: Letters of other scripts, and rare Latin ones, with the Latin letter or mark that they look like.
+#: One line a script: Cyrillic small, rare Latin, Cyrillic capital, Greek small, Greek capital, Armenian,
+#: Cherokee, Lisu, Coptic, Deseret, Canadian syllabics, marks.
+ALIKE = [
+    ("аеорсухѕіјһԛԝԁӏգ", "aeopcyxsijhqwdlq"),
+    ("ᴏᴠᴡᴢᴄɡɑ", "ovwzcga"),
+    ("АВЕКМНОРСТУХЅІЈԚԜӀ", "ABEKMHOPCTYXSIJQWI"),
+    ("αγινορυϲϳ", "ayivopucj"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
+    ("օսհոցյՕՍ", "ouhngjOU"),
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏚᏞᏟᏢᏦᏧᏴ", "DRTAJEWMHGZ4RWSLCPKdB"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BEHIKMNOPCTYXopc"),
+    ("𐐄𐐕𐐛𐐠𐐬𐐽", "OCLSoc"),
+    ("ᐯᑌᑭᒍᒪᔑᕼᖇᖴᗞᗰᗷ᙭", "VUPJLSHRFDMBX"),
+    ("‐ʼ", "-’"),
+]
+LOOKALIKE = {a: b for others, latin in ALIKE for a, b in zip(others, latin, strict=True)}
 
 #: Decompositions whose result looks like the character itself.
 SHOWN_ALIKE = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -160,19 +172,35 @@ def alike_pairs(entries: DataFrame, group: str, key: str, text: str) -> DataFram
     """(key_a, key_b): entries of one group with different texts that look the same.
 
     Rows with a null group, key or text have no partner; repeated rows count
-    once; the smaller key comes first. The join is on (group, form), so a
-    large group is spread by its forms.
+    once; the smaller key comes first. Spellings are paired first, each once
+    however many entries have it, and only those that have a partner are joined
+    with their entries: entries of one spelling never meet, so the work is in
+    proportion to the pairs that come out.
     """
     e = (
         entries.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(text).alias("t"))
         .where("g IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL")
-        .withColumn("form", one_form("t"))
         .distinct()
     )
-    a = e.select("g", "form", F.col("k").alias("a"), F.col("t").alias("ta"))
-    b = e.select("g", "form", F.col("k").alias("b"), F.col("t").alias("tb"))
-    pairs = a.join(b, ["g", "form"]).where("a < b AND ta <> tb")
-    return pairs.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b")).distinct()
+    spelled = e.select("g", "t").distinct().withColumn("form", one_form("t"))
+    # most forms have one spelling; arrays hold the spellings of a form, not its entries
+    several = spelled.groupBy("g", "form").agg(F.sort_array(F.collect_list("t")).alias("ts")).where("size(ts) > 1")
+    firsts = several.select("g", "ts", F.posexplode("ts").alias("n", "ta"))
+    spellings = firsts.select("g", "ta", F.explode(F.expr("slice(ts, n + 2, size(ts))")).alias("tb"))
+    a = e.select("g", F.col("k").alias("a"), F.col("t").alias("ta"))
+    b = e.select("g", F.col("k").alias("b"), F.col("t").alias("tb"))
+    pairs = spellings.join(a, ["g", "ta"]).join(b, ["g", "tb"]).where("a <> b")
+    return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+
+
+def alike_classes(entries: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """(key, form, n_links): one row per entry, the form that names its class in its group, and how
+    many entries of other spelling it holds. Repeated rows count once; null parts leave a row out."""
+    e = entries.select(group, key, F.col(text).alias("__t")).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("__t").isNotNull())
+    spelled = e.distinct().groupBy(group, "__t").agg(F.count(F.lit(1)).alias("__n")).withColumn("form", one_form("__t"))
+    classes = spelled.groupBy(group, "form").agg(F.sum("__n").alias("__all"))
+    links = spelled.join(classes, [group, "form"]).select(group, "__t", "form", (F.col("__all") - F.col("__n")).alias("n_links"))
+    return e.distinct().join(links, [group, "__t"]).select(key, "form", "n_links")
 
 
 def merged_entries(entries: DataFrame, group: str, key: str, text: str, values: str) -> DataFrame:

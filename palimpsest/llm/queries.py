@@ -9,7 +9,7 @@ from palimpsest.functions.tokens import letters, runs
 from palimpsest.llm.graph_weights import key_terms, weigh_hits
 from palimpsest.llm.keyword_pages import keyword_pages, scored
 from palimpsest.llm.leakage import leaked, without_leaks
-from palimpsest.llm.lookalikes import alike_pairs, merged_entries
+from palimpsest.llm.lookalikes import alike_classes, alike_pairs, merged_entries
 from palimpsest.llm.mixing import kept_rules, mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
 from palimpsest.llm.splitting import bodies, pieces, rejoined
@@ -180,6 +180,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word")
 
 
+@query()
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return alike_classes(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word")
+
+
 @query()
 def p5_merged_segments(spark: SparkSession, folder: str) -> DataFrame:
     return merged_entries(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word", "reversed")

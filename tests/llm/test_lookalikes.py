@@ -4,7 +4,9 @@ import unicodedata
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm.lookalikes import alike_pairs, merged_entries, one_form_array, shown
+from pyspark.sql import functions as F
+
+from palimpsest.llm.lookalikes import alike_classes, alike_pairs, merged_entries, one_form_array, shown
 
 
 def form(*texts):
@@ -63,3 +65,18 @@ def test_pairs_and_merge(spark):
     got = {(r["seg"], r["form"]): tuple(r)[2:] for r in merged_entries(rows, "seg", "entry_id", "word", "ids").collect()}
     assert got[7, "core"] == (4, 3, 5) and got[8, "core"] == (1, 1, 0) and got[None, "core"] == (1, 1, 1) and got[7, "Core"] == (1, 1, 1)
     assert alike_pairs(rows.where("false"), "seg", "entry_id", "word").count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("αγορά", "ayopá"), ("ᎪᏟ", "AC"), ("ꓐꓮꓢꓰ", "BASE"), ("ⲞⲢⲈⲚ", "OPEN"), ("𐐬𐑀", "o𐑀"), ("ᑭᑌᒪ", "PUL"), ("ОТУ", "OTY")])
+def test_other_scripts(a, b):
+    assert form(a) == form(b)
+
+
+def test_one_spelling_in_many_entries_is_never_paired(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("entry_id"), F.lit(1).alias("seg"), F.lit("core").alias("word"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, 1, "соre"), (-2, 1, "ｃore"), (-3, 2, "core")], "entry_id long, seg int, word string"))
+    pairs = alike_pairs(rows, "seg", "entry_id", "word")
+    assert pairs.count() == 40_001
+    classes = {r["entry_id"]: (r["form"], r["n_links"]) for r in alike_classes(rows, "seg", "entry_id", "word").where("entry_id < 1").collect()}
+    assert classes == {0: ("core", 2), -1: ("core", 20_001), -2: ("core", 20_001), -3: ("core", 0)}
+    assert alike_classes(rows.where("false"), "seg", "entry_id", "word").count() == 0
