@@ -3,20 +3,22 @@
 A text is read as chunks between blanks. A function word stands for itself,
 any other chunk for its class: small, capital or all-capital word, number,
 link, tag, bare mark, and whether the word was said a moment ago; a closing
-mark follows as a symbol of its own. Models of these symbols, one by one and
-in threes, are trained on prose. A stretch of text is abnormal where the mean
-surprise of the symbols around, under either, is far above or far below what
-prose shows. (Threes alone are fooled by text that, once strange, goes on alike.)
-
-An abnormal stretch counts if links, tags, bare marks, article codes or words
-that the page repeats make up enough of it: that keeps division lists and order papers,
-which are no prose either but repeat nothing. Refrains are prose to the model.
-A page is found if more than half of its characters are in such stretches.
-
-The model is fitted on a bounded sample of the distinct texts (about
-TRAINING_ROWS, by a hash of the text, of up to TRAINING_CHARS), from which
-`train` keeps what is prose; texts of the same words count once, so that no
-page becomes usual by its copies. Everything else reads all documents in whole.
+mark follows as a symbol of its own. Three models of these symbols are trained
+on prose: one by one, in threes, and in threes with all function words taken as
+one. A stretch of text is abnormal where the mean surprise of the symbols
+around, under any of them, is far above or far below what prose held out of
+the training shows. (Threes alone are fooled by text that, once strange, goes
+on alike; single symbols by keywords whose surprise is like that of words.)
+
+An abnormal stretch counts if links, tags, bare marks, article codes or words,
+other than function words, that the page repeats make up enough of it: that keeps division lists and
+order papers, which are no prose either but repeat nothing. Refrains are prose
+to the model. A page is found if more than half of its characters are in such
+stretches.
+
+The training text is an argument, prose from outside of the documents, by
+default the passages of `prose.py`; the documents are only scored, so neither
+their number nor the share of such pages among them changes what is found.
 
 Defined cases: null or blank text is never found; null ids are left out; a
 repeated row gives one result; an empty table gives none.
@@ -25,9 +27,9 @@ repeated row gives one result; an empty table gives none.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.codepoints import LIMIT, row_heads, slices, to_codes
+from palimpsest.llm.prose import PASSAGES
 from palimpsest.llm.words import _powers, folding
 
-TRAINING_ROWS = 3000
-TRAINING_CHARS = 20_000
+FOLDS = 6  # parts of the training text, each of which the others hold out
 FUNCTION_WORDS = 120  # words that are symbols of their own, by the texts that have them
 COMMON = 0.02  # share of the texts that has any other common word; those are one symbol
 AROUND = 10  # symbols on either side that a stretch takes in
 RECENT = 12  # chunks within which a word counts as said a moment ago
-FAR = 3.0  # standard deviations from prose
+FAR = 2.5  # standard deviations from prose that was held out
 DENSE = 0.45  # share of links, tags, marks and repeated words
 TIMES = 3  # so often in a page is repeated
-OVERUSE = 4.0  # and, of a common word, so many times its usual share of a text
-MARKED = 0.02  # share of links, tags and bare marks that prose may have
 
 SMALL, CAPITAL, CAPITALS, DIGITS, LINK, TAG, MARK = range(7)
 CLASSES = 7 + 4  # the four word classes again, as said a moment ago
@@ -162,11 +162,11 @@ def _repeats(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Prose:
     words: np.ndarray  # sorted hashes of function words and common words
     symbol: np.ndarray  # of each of them
-    usual: np.ndarray  # its mean share of the chunks of the texts that have it
     single: np.ndarray  # surprise by symbol
     triple: np.ndarray  # surprise by symbol and the two before
-    middle: tuple[float, float] = (0.0, 0.0)  # of the mean surprise around, single and triple, in prose
-    spread: tuple[float, float] = (1.0, 1.0)
+    classes: np.ndarray  # the same with function words as one symbol
+    middle: tuple[float, ...] = (0.0, 0.0, 0.0)  # of the mean surprise around under each model, in prose
+    spread: tuple[float, ...] = (1.0, 1.0, 1.0)
 
 
 def _known(c: Chunks, words: np.ndarray) -> np.ndarray:
@@ -206,88 +206,76 @@ def _window(values: np.ndarray, row: np.ndarray, around: int) -> np.ndarray:
     return (sums[high] - sums[low]) / (high - low)
 
 
-def _common_words(c: Chunks, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes, symbols, usual shares) of words by the number of texts that have them: a text counts once."""
+def _common_words(c: Chunks, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, symbols) of words by the number of texts that have them: a text counts once."""
     plain = kept[c.row] & (c.shape <= CAPITALS)
-    pairs, times = np.unique(np.stack((c.hash[plain], c.row[plain].astype(np.uint64)), axis=1), axis=0, return_counts=True)
-    hashes, place, texts = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    usual = np.bincount(place, times / np.bincount(c.row)[pairs[:, 1].astype(np.int64)], minlength=len(hashes)) / texts
+    pairs = np.unique(np.stack((c.hash[plain], c.row[plain].astype(np.uint64)), axis=1), axis=0)
+    hashes, texts = np.unique(pairs[:, 0], return_counts=True)
     order = np.argsort(-texts, kind="stable")
     order = order[texts[order] >= max(2, COMMON * kept.sum())]
     symbol = np.minimum(np.arange(len(order)), FUNCTION_WORDS)
     symbol = np.where(symbol < FUNCTION_WORDS, SYMBOLS + symbol, SYMBOLS - 1)
     back = np.argsort(hashes[order])
-    return hashes[order][back], symbol[back], usual[order][back]
+    return hashes[order][back], symbol[back]
 
 
 def _fit(c: Chunks, kept: np.ndarray) -> Prose:
-    words, own, usual = _common_words(c, kept)
+    words, own = _common_words(c, kept)
     symbol, chunk = symbols(c, _known(c, words), own)
     row, size = c.row[chunk], SYMBOLS + FUNCTION_WORDS
-    one, two = _contexts(symbol, row, size)
     use = kept[row]
-    # a text counts once for what it shows, however often: one stray page can't teach the model its own song
+    uni = np.bincount(symbol[use], minlength=size)
+    single = (uni + 0.5) / (uni.sum() + 0.5 * size)
+    return Prose(words, own, -np.log2(single), _in_threes(symbol, row, use, size), _in_threes(_coarse(symbol), row, use, SYMBOLS))
+
+
+def _coarse(symbol: np.ndarray) -> np.ndarray:
+    """Function words as one symbol, and words with and without a capital, which languages use as they please, alike."""
+    out = np.minimum(symbol, SYMBOLS - 1)
+    return np.where((out == CAPITAL) | (out == CAPITAL + 7), out - CAPITAL + SMALL, out)
+
+
+def _in_threes(symbol: np.ndarray, row: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
+    """Surprise by the two symbols before and the symbol, each backed by what is known with fewer."""
+    one, two = _contexts(symbol, row, size)
     states = (size + 1) ** 2 * size
-    shown = np.unique(row[use] * states + (two[use] * (size + 1) + one[use]) * size + symbol[use]) % states
-    tri = np.bincount(shown, minlength=states).reshape(size + 1, size + 1, size)
+    tri = np.bincount(((two * (size + 1) + one) * size + symbol)[use], minlength=states).reshape(size + 1, size + 1, size)
     bi, uni = tri.sum(0), tri.sum((0, 1))
-    single = (uni + 0.5) / (uni.sum() + 0.5 * size)
-    p = (bi + 5 * single) / (bi.sum(1, keepdims=True) + 5)
+    p = (uni + 0.5) / (uni.sum() + 0.5 * size)
+    p = (bi + 5 * p) / (bi.sum(1, keepdims=True) + 5)
     p = (tri + 5 * p) / (tri.sum(2, keepdims=True) + 5)
-    return Prose(words, own, usual, -np.log2(single), -np.log2(p).astype(np.float32))
+    return -np.log2(p).astype(np.float32)
 
 
-def _surprises(c: Chunks, prose: Prose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean surprise around each chunk by the symbols alone, and in their order; place of its word among the common ones."""
+def _surprises(c: Chunks, prose: Prose) -> tuple[list[np.ndarray], np.ndarray]:
+    """(mean surprise around each chunk under each model, place of its word among the common ones)."""
     known = _known(c, prose.words)
     symbol, chunk = symbols(c, known, prose.symbol)
     row = c.row[chunk]
     one, two = _contexts(symbol, row, SYMBOLS + FUNCTION_WORDS)
+    coarse = _coarse(symbol)
+    before, earlier = _contexts(coarse, row, SYMBOLS)
     own = np.ones(len(chunk), bool)
     own[1:] = chunk[1:] != chunk[:-1]
-    return _window(prose.single[symbol], row, AROUND)[own], _window(prose.triple[two, one, symbol], row, AROUND)[own], known
-
-
-def _near_middle(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Within three (robust) standard deviations of the median of `among`."""
-    middle = np.median(values[among])
-    return np.abs(values - middle) <= 3 * 1.4826 * max(0.02, np.median(np.abs(values[among] - middle)))
-
-
-def _distinct(texts: list[str]) -> list[str]:
-    """One of all texts that say the same words, in whatever order, number and layout."""
-    c = chunks(pa.array(texts, pa.large_string()))
-    plain = c.shape <= CAPITALS
-    if not plain.any():
-        return sorted(set(texts))
-    pairs = np.unique(np.stack((c.row[plain].astype(np.uint64), c.hash[plain]), axis=1), axis=0)
-    row, mixed = pairs[:, 0].astype(np.int64), pairs[:, 1] * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    begins = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    key = np.zeros(len(texts), np.uint64)
-    key[row[begins]] = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
-    return [texts[i] for i in np.sort(np.unique(key, return_index=True)[1])]
-
-
-def train(texts: list[str]) -> Prose:
-    """A model of the prose among `texts`: of those with hardly a link, tag or
-    bare mark that say words again no more and no less than most texts do.
-    Texts of the same words count once."""
-    texts = _distinct(texts)
-    c = chunks(pa.array(texts, pa.large_string()))
-    count = max(1, len(texts))
+    values = (prose.single[symbol], prose.triple[two, one, symbol], prose.classes[earlier, before, coarse])
+    return [_window(v, row, AROUND)[own] for v in values], known
+
+
+def train(texts: Sequence[str], folds: int = FOLDS) -> Prose:
+    """A model of `texts`, all of which are prose. What is usual is measured on texts that a model has not seen."""
+    c = chunks(pa.array(list(texts), pa.large_string()))
+    all_ = np.ones(max(1, len(texts)), bool)
+    prose = _fit(c, all_)
     if not len(c.row):
-        return _fit(c, np.ones(count, bool))
-    size = np.maximum(1, np.bincount(c.row, minlength=count))
-    share = lambda mask: np.bincount(c.row, mask, minlength=count) / size
-    kept = share(c.shape >= LINK) <= MARKED
-    kept = kept if kept.any() else ~kept
-    kept &= _near_middle(share(c.recent), kept)
-    prose = _fit(c, kept)
-    scores = [x[kept[c.row]] for x in _surprises(c, prose)[:2]]
-    middle = [float(np.median(x)) for x in scores]
-    prose.middle = (middle[0], middle[1])
-    prose.spread = tuple(max(0.05, float(1.4826 * np.median(np.abs(x - m)))) for x, m in zip(scores, middle))
+        return prose
+    held: list[list[np.ndarray]] = [[], [], []]
+    for fold in range(min(folds, len(texts))):
+        kept = np.arange(len(texts)) % folds != fold if len(texts) > 1 else all_
+        for part, values in zip(held, _surprises(c, _fit(c, kept))[0], strict=True):
+            part.append(values[~kept[c.row]] if len(texts) > 1 else values)
+    scores = [np.concatenate(part) for part in held]
+    prose.middle = tuple(float(np.median(x)) for x in scores)
+    prose.spread = tuple(max(0.05, float(1.4826 * np.median(np.abs(x - m)))) for x, m in zip(scores, prose.middle, strict=True))
     return prose
 
 
@@ -301,31 +289,25 @@ def _shares(column: pa.Array, prose: Prose) -> tuple[np.ndarray, np.ndarray]:
     c, n = chunks(column), len(column)
     if not len(c.row):
         return np.zeros(n), np.zeros(n)
-    single, triple, known = _surprises(c, prose)
+    means, known = _surprises(c, prose)
     abnormal = np.zeros(len(c.row), bool)
-    for mean, middle, spread in zip((single, triple), prose.middle, prose.spread):
+    for mean, middle, spread in zip(means, prose.middle, prose.spread, strict=True):
         abnormal |= np.abs(mean - middle) > FAR * spread
-    much = c.often / np.bincount(c.row, minlength=n)[c.row]
-    usual = np.concatenate((prose.usual, [0.0]))[known]  # -1, for a word that is not common, takes the last
-    stuffed = (c.shape >= LINK) | c.mixed | ((c.often >= TIMES) & (much > OVERUSE * usual) & (c.shape != DIGITS))
+    stuffed = (c.shape >= LINK) | c.mixed | ((c.often >= TIMES) & (known < 0) & (c.shape != DIGITS))
     dense = _window(stuffed.astype(float), c.row, AROUND) >= DENSE
     total = np.maximum(1, np.bincount(c.row, c.size, minlength=n))
     return np.bincount(c.row, c.size * abnormal, minlength=n) / total, np.bincount(c.row, c.size * (abnormal & dense), minlength=n) / total
 
 
-def prose_of(documents: DataFrame, doc: str, text: str) -> Prose:
-    """The model of the distinct texts that hash below a bound, set so that about TRAINING_ROWS come."""
-    rows = documents.select(F.col(text).alias("text")).where(F.col(text).isNotNull() & (F.length(text) <= TRAINING_CHARS))
-    total = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
-    cut = 2**40 if total <= TRAINING_ROWS else int(2**40 * TRAINING_ROWS / total)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(2**40)) < cut).distinct().limit(2 * TRAINING_ROWS)
-    return train(sorted(r[0] for r in sample.collect()))
+@lru_cache(maxsize=8)
+def trained(texts: tuple[str, ...] = tuple(PASSAGES)) -> Prose:
+    return train(texts)
 
 
-def scored(documents: DataFrame, doc: str, text: str, prose: Prose | None = None) -> DataFrame:
-    """(doc, abnormal, keywords): shares of the text of each document."""
+def scored(documents: DataFrame, doc: str, text: str, prose: Sequence[str] = PASSAGES) -> DataFrame:
+    """(doc, abnormal, keywords): shares of the text of each document. `prose`: texts that are prose."""
     rows = documents.select(doc, text).where(F.col(doc).isNotNull() & F.col(text).isNotNull())
-    sent = documents.sparkSession.sparkContext.broadcast(prose or prose_of(documents, doc, text))
+    sent = documents.sparkSession.sparkContext.broadcast(trained(tuple(prose)))
     schema = T.StructType([documents.schema[doc], T.StructField("abnormal", T.DoubleType()), T.StructField("keywords", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,5 +318,6 @@ def scored(documents: DataFrame, doc: str, text: str, prose: Prose | None = None
     return rows.mapInArrow(work, schema)
 
 
-def keyword_pages(documents: DataFrame, doc: str, text: str, share: float = 0.5) -> DataFrame:
-    return scored(documents, doc, text).where(F.col("keywords") > share).select(doc).distinct()
+def keyword_pages(documents: DataFrame, doc: str, text: str, share: float = 0.5, prose: Sequence[str] = PASSAGES) -> DataFrame:
+    """The documents of which more than `share` is keywords, links or tags."""
+    return scored(documents, doc, text, prose).where(F.col("keywords") > share).select(doc).distinct()

@@ -205,6 +205,28 @@ def test_a_keyword_page_on_a_third_of_the_rows(spark):
     assert {r["doc_id"] for r in keyword_pages(df, "doc_id", "text").collect()} == set(range(1000, 1200))
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5, 0.8])
+def test_the_share_of_such_pages_makes_no_difference(spark, share):
+    """Held out: neither the prose nor the pages were seen in training."""
+    rng = random.Random(int(share * 100))
+    rows, want = [], set()
+    for i in range(300):
+        if i < 300 * share:
+            rows.append((i, spam(rng, KINDS[i % len(KINDS)])))
+            want.add(i)
+        else:
+            rows.append((i, prose(rng, rng.randint(2, 8))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in keyword_pages(df, "doc_id", "text").collect()} == want
+
+
+def test_the_prose_is_an_argument(spark):
+    rng = random.Random(3)
+    own = [prose(rng, 5) for _ in range(60)]
+    df = spark.createDataFrame([(1, prose(rng, 4)), (2, spam(rng, "words")), (3, spam(rng, "tags"))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in keyword_pages(df, "doc_id", "text", prose=own).collect()) == [2, 3]
+
+
 def test_very_long_page(spark):
     rng = random.Random(8)
     long = " ".join(prose(rng) for _ in range(5000))
@@ -216,7 +238,7 @@ def test_chunk_shapes():
     c = chunks(pa.array(["The NATO #tag www.a-site.example/x 12 — J.Smith K489, sofa SOFA.", "", "Ä ä"]))
     assert c.row.tolist() == [0] * 10 + [2, 2] and c.shape.tolist() == [1, 2, 5, 4, 3, 6, 1, 1, 0, 2, 1, 0]
     assert c.mixed.tolist()[7] and c.closing.tolist()[7:] == [1, -1, 0, -1, -1] and c.hash[8] == c.hash[9] and c.hash[10] == c.hash[11]
-    assert train([]).middle == train([""]).middle == (0.0, 0.0)
+    assert train([]).middle == train([""]).middle == (0.0, 0.0, 0.0)
 
 
 def test_quotas_reach_the_shares():
