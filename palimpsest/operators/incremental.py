@@ -1,29 +1,45 @@
 """Processing only what is new or changed since the last successful run.
 
 A manifest lists every input file that a committed run has taken in, with its
-size and a checksum. A run anti-joins its listing with the manifest, writes
-its output under its batch identifier and then commits a new manifest. A run
-that breaks off before the commit leaves the old manifest in force, and its
-batch folder is overwritten when the batch is tried again, so nothing is
-skipped and nothing is taken in twice.
+size and a checksum. A run writes the part of its listing that the manifest
+lacks, once, under its batch identifier; it processes that copy, writes the
+output under the identifier and then commits the copy as a further part of the
+manifest, by one entry of a log. What arrives while a run is going on is not
+in the copy, so it is neither processed nor committed and stays for the next
+run. A run that breaks off before its commit leaves the log as it was, and its
+folders are overwritten when the batch is tried again, so nothing is skipped
+and nothing is taken in twice. One run at a time: a lock keeps others out.
+
+Parts of the manifest are joined into one after every COMPACT commits; the log
+entry names the parts in force, so a run reads one entry and those parts.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from palimpsest.session import sized_broadcast, working_folder
+from palimpsest.store.lock import IndexLock
+
+STATE = ("length", "checksum")
 MANIFEST = T.StructType([
-    T.StructField("path", T.StringType(), False),
+    T.StructField("path", T.StringType()),
     T.StructField("length", T.LongType()),
     T.StructField("checksum", T.StringType()),
     T.StructField("batch_id", T.StringType()),
+    T.StructField("turn", T.LongType()),
 ])
+COMPACT = 20
 
 
 class FileStore:
@@ -50,69 +66,182 @@ class FileStore:
         fs, path = self._fs(name), self._path(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def read_json(self, name: str) -> dict:
+    def read_text(self, name: str) -> str | None:
+        """None where there is no such file."""
+        if not self.exists(name):
+            return None
         stream = self._fs(name).open(self._path(name))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def write_json(self, name: str, value: dict) -> None:
-        """Replaces the file in one step: readers see the old text or the new."""
-        fresh = f"{name}.next"
-        stream = self._fs(fresh).create(self._path(fresh), True)
-        stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    def read_json(self, name: str) -> dict:
+        return json.loads(self.read_text(name) or "")
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was written, 0 where there is none."""
+        if not self.exists(name):
+            return 0.0
+        return max(0.0, (self._jvm.java.lang.System.currentTimeMillis() - self._fs(name).getFileStatus(self._path(name)).getModificationTime()) / 1000)
+
+    def _write(self, name: str, text: str) -> None:
+        stream = self._fs(name).create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
         stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Makes a file with its text in one step. False where there is one already."""
+        fresh = f"{name}.{uuid.uuid4().hex}"
+        self._write(fresh, text)
+        return self.move(fresh, name)
+
+    def move(self, name: str, to: str) -> bool:
+        """Renames in one step. False, and `name` is gone, where `to` exists."""
+        try:
+            uri = self._path(name).toUri()
+            if (uri.getScheme() or self._fs(name).getUri().getScheme()) == "file":
+                # renaming overwrites on local disks, a link doesn't
+                try:
+                    os.link(uri.getPath(), self._path(to).toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            try:
+                self._rename(name, to, "NONE")
+            except Exception:
+                if self.exists(to):
+                    return False
+                raise
+            return True
+        finally:
+            self.delete(name)
+
+    def _rename(self, name: str, to: str, how: str) -> None:
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        how = self._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(name).toUri(), self._conf)
-        context.rename(self._path(fresh), self._path(name), how)
+        options = self._gateway.new_array(rename, 1)
+        options[0] = getattr(rename, how)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(to).toUri(), self._conf).rename(self._path(name), self._path(to), options)
+
+    def write_json(self, name: str, value: dict) -> None:
+        """Replaces the file in one step: readers see the old text or the new."""
+        self._write(f"{name}.next", json.dumps(value, sort_keys=True))
+        self._rename(f"{name}.next", name, "OVERWRITE")
 
 
 class IncrementalJob:
     """Runs of one job over a growing set of files.
 
-    `root` holds ``out/batch=<id>``, ``manifest/<id>`` and ``CURRENT.json``.
+    `root` holds ``todo/<batch>`` (what a batch took in, and a part of the
+    manifest once committed), ``out/batch=<batch>``, ``manifest/<turn>`` (parts
+    joined) and ``log/<turn>.<batch>.json``. `keys` name a file.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, FileStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...] = ("path",), lock_timeout: float = 30):
+        self.spark, self.store, self.keys = spark, FileStore(spark, root), keys
+        self.lock_timeout = lock_timeout
+        extra = [T.StructField(k, T.StringType()) for k in keys if k != "path"]
+        self.schema = T.StructType([*extra, *MANIFEST.fields])
 
-    def committed(self) -> dict:
-        return self.store.read_json("CURRENT.json") if self.store.exists("CURRENT.json") else {"batches": []}
+    def lock(self) -> IndexLock:
+        return IndexLock(self.store, self.lock_timeout)
+
+    def _log(self) -> list[str]:
+        return [n for n in self.store.names("log") if n.endswith(".json")]
+
+    def batches(self) -> list[str]:
+        """Identifiers of the committed batches, in order."""
+        return [unquote(n.split(".", 1)[1].removesuffix(".json")) for n in self._log()]
+
+    def _last(self) -> dict:
+        log = self._log()
+        return self.store.read_json(f"log/{log[-1]}") if log else {"turn": 0, "parts": []}
 
     def manifest(self) -> DataFrame:
-        batches = self.committed()["batches"]
-        if not batches:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.store.root}/manifest/{batches[-1]}")
+        """Each file once, as the last batch that took it in saw it."""
+        parts = self._last()["parts"]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.store.root}/{p}" for p in parts])
+        if len(parts) == 1 and parts[0].startswith("manifest/"):
+            return rows
+        own = [c for c in self.schema.names if c not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*own), "turn").alias("m"))
+        return last.select(*[c if c in self.keys else F.col("m")[c].alias(c) for c in self.schema.names])
 
     def pending(self, listing: DataFrame) -> DataFrame:
-        """Rows of `listing` (path, length, checksum, ...) not in the manifest as they are.
+        """Rows of `listing` (keys, length, checksum, ...) not in the manifest as they are.
 
-        Null paths are left out; of repeated rows of a path one comes out; a
-        null length or checksum equals a null one.
+        Null keys are left out; of differing rows of a file the one of the
+        greatest length, then checksum, comes out, and the file once; a null
+        length or checksum equals a null one.
         """
-        clean = listing.where(F.col("path").isNotNull()).dropDuplicates(["path"])
-        return unseen(clean, self.manifest(), ["path"], ["length", "checksum"])
+        rest = [c for c in listing.columns if c not in self.keys]
+        given = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
+        best = F.max_by(F.struct(*rest), F.struct(*STATE, F.xxhash64(*rest)))
+        clean = listing.where(given).groupBy(*self.keys).agg(best.alias("r"))
+        clean = clean.select(*[c if c in self.keys else F.col("r")[c].alias(c) for c in listing.columns])
+        return unseen(clean, self.manifest(), list(self.keys), list(STATE))
 
     def run(self, batch_id: str, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
         """Takes in what is pending. False: the batch was committed before."""
-        done = self.committed()["batches"]
-        if batch_id in done:
-            return False
-        todo = self.pending(listing)
-        process(todo).write.mode("overwrite").parquet(f"{self.store.root}/out/batch={batch_id}")
-        taken = todo.select("path", "length", "checksum", F.lit(batch_id).alias("batch_id"))
-        kept = self.manifest().join(taken.select("path"), "path", "left_anti")
-        kept.unionByName(taken).write.mode("overwrite").parquet(f"{self.store.root}/manifest/{batch_id}")
-        self.store.write_json("CURRENT.json", {"batches": [*done, batch_id]})
-        return True
+        return self._commit(batch_id, lambda: self.pending(listing), process)
+
+    def catch_up(self, batch_id: str, history: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
+        """Many runs that are known already, as one batch: the same as `run` with one after the other.
+
+        `history`: keys, length, checksum, batch_id (of the run), turn (its
+        place among the runs), wanted (false: it commits what it lists, but
+        nothing comes out); each file of a run once. Every entry is in force
+        until the next run that lists the file; a run's rows are anti-joined
+        with those in force for it. What is committed already is in force for
+        the first run.
+        """
+
+        def todo() -> DataFrame:
+            started = self._last()["turn"]
+            rows = history.withColumn("turn", F.col("turn") + started)
+            old = self.manifest().withColumn("wanted", F.lit(False))
+            return rows.unionByName(old.select(*rows.columns)) if started else rows
+
+        def pending(copy: DataFrame) -> DataFrame:
+            by_file = Window.partitionBy(*self.keys).orderBy("turn")
+            force = copy.select(*self.keys, *STATE, F.lead("turn").over(by_file).alias("turn")).where("turn IS NOT NULL")
+            return process(unseen(copy.where("wanted").drop("wanted"), force, [*self.keys, "turn"], list(STATE)))
+
+        return self._commit(batch_id, todo, pending, turns=history)
+
+    def _commit(self, batch_id: str, todo: Callable[[], DataFrame], process: Callable[[DataFrame], DataFrame], turns: DataFrame | None = None) -> bool:
+        with self.lock():
+            if batch_id in self.batches():
+                return False
+            name, last = quote(batch_id, safe=""), self._last()
+            copy_at, turn = f"{self.store.root}/todo/{name}", last["turn"] + 1
+            rows = todo()
+            if turns is None:
+                rows = rows.withColumns({"batch_id": F.lit(batch_id), "turn": F.lit(turn).cast("long")})
+            rows.write.mode("overwrite").parquet(copy_at)
+            copy = self.spark.read.schema(rows.schema).parquet(copy_at)
+            process(copy).write.mode("overwrite").parquet(f"{self.store.root}/out/batch={name}")
+            if turns is not None:
+                turn = max(turn, copy.agg(F.max("turn")).first()[0] or 0)
+            parts = [*last["parts"], f"todo/{name}"]
+            if len(parts) > COMPACT:
+                parts = [self._joined(parts, turn)]
+            self.store.create(f"log/{turn:012d}.{name}.json", json.dumps({"turn": turn, "parts": parts}))
+            return True
+
+    def _joined(self, parts: list[str], turn: int) -> str:
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.store.root}/{p}" for p in parts])
+        own = [c for c in self.schema.names if c not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*own), "turn").alias("m"))
+        last = last.select(*[c if c in self.keys else F.col("m")[c].alias(c) for c in self.schema.names])
+        last.write.mode("overwrite").parquet(f"{self.store.root}/manifest/{turn}")
+        return f"manifest/{turn}"
 
     def output(self) -> DataFrame | None:
         """What the committed batches wrote; nothing of broken ones."""
-        paths = [f"{self.store.root}/out/batch={b}" for b in self.committed()["batches"]]
+        paths = [f"{self.store.root}/out/batch={quote(b, safe='')}" for b in self.batches()]
         return self.spark.read.option("basePath", f"{self.store.root}/out").parquet(*paths) if paths else None
 
 
@@ -127,15 +256,14 @@ def unseen(listing: DataFrame, manifest: DataFrame, keys: list[str], state: list
     return listing.join(m, same, "left_anti")
 
 
-def replay(listing: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, path): what each incremental run of a recorded history had to take in.
+def history_of(listing: DataFrame, runs: DataFrame) -> DataFrame:
+    """A recorded history as `catch_up` takes it: index_path, path, length, checksum, batch_id, turn, wanted.
 
     `listing`: run_id, path, mtime, length, seen_at. `runs`: run_id, index_path,
-    config_updated_files_only, started_at, status. Each ``ok`` run commits the
-    state of every path that it listed; that manifest entry is in force until
-    the next ``ok`` run of the index that lists the path. A run's rows are
-    anti-joined with the entries in force. Runs that failed commit nothing;
-    full runs commit entries but take in everything, so they yield no rows.
+    config_updated_files_only, started_at, status. The checksum that a listing
+    has is its time of change. Runs that failed commit nothing and are left
+    out; full runs commit entries but take in everything, so nothing of theirs
+    is wanted here.
 
     Repeated rows count once; of different rows of a run and path the last by
     seen_at holds; rows with a null path, run or index are left out; runs with
@@ -146,18 +274,27 @@ def replay(listing: DataFrame, runs: DataFrame) -> DataFrame:
         .groupBy("run_id")
         .agg(F.max(F.struct("started_at", "index_path", "config_updated_files_only")).alias("r"))
         .select("run_id", "r.*")
-        .withColumn("changed_only", F.coalesce(F.col("config_updated_files_only") == "true", F.lit(True)))
+        .withColumn("turn", F.row_number().over(Window.partitionBy("index_path").orderBy("started_at", "run_id")).cast("long"))
+        .select("run_id", "index_path", "turn", F.coalesce(F.col("config_updated_files_only") == "true", F.lit(True)).alias("wanted"))
     )
     seen = (
-        listing.where(F.col("path").isNotNull())
+        listing.where(F.col("path").isNotNull() & F.col("run_id").isNotNull())
         .groupBy("run_id", "path")
         .agg(F.max(F.struct("seen_at", "mtime", "length")).alias("s"))
-        .select("run_id", "path", "s.mtime", "s.length")
-        .join(ok, "run_id")
     )
-    by_path = Window.partitionBy("index_path", "path").orderBy("started_at", "run_id")
-    manifest = seen.select("index_path", "path", "mtime", "length", F.lead("run_id").over(by_path).alias("run_id"))
-    wanted = seen.where("changed_only").select("index_path", "run_id", "path", "mtime", "length")
-    return unseen(
-        wanted, manifest.where(F.col("run_id").isNotNull()), ["index_path", "path", "run_id"], ["mtime", "length"]
-    ).select("run_id", "path")
+    return seen.join(sized_broadcast(ok, 1_000_000), "run_id").select(
+        "index_path", "path", F.col("s.length").alias("length"), F.col("s.mtime").cast("string").alias("checksum"),
+        F.col("run_id").cast("string").alias("batch_id"), "turn", "wanted",
+    )
+
+
+def replay(listing: DataFrame, runs: DataFrame, root: str | None = None) -> DataFrame:
+    """(run_id, path): what each incremental run of a recorded history had to take in.
+
+    The history is taken in by an IncrementalJob in `root` (a new working
+    folder if null) and the rows are what it wrote and committed.
+    """
+    spark = listing.sparkSession
+    job = IncrementalJob(spark, root or working_folder(spark, "replay"), keys=("index_path", "path"))
+    job.catch_up("history", history_of(listing, runs), lambda todo: todo.select(F.col("batch_id").cast("long").alias("run_id"), "path"))
+    return job.output().select("run_id", "path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "palimpsest") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -27,16 +29,41 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Where the session
-    names none (tests, a laptop) a temporary local folder is set.
+    A local session that names none (tests, a laptop) gets a temporary folder;
+    a cluster must name one, since its executors share no temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables beside the checkpoints; `clean_up` removes it with them."""
+    return f"{shared_folder(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes checkpoints and written tables of this application. Results that still read them are lost."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
+    it once nothing refers to it any more.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
