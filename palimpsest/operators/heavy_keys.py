@@ -37,23 +37,69 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int
     return df.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
+def _key_states(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """One partial state per key of a sorted range partition, as they come: the first and the last are edges.
+
+    Columns in: the key columns, then hash of the key, rows, values. The state
+    of the key that a batch ends with is held back until the next key comes.
+    """
+    width = len(names)
+    held, first = None, True  # named columns, hash, rows, values
+
+    def state(named, edge, rows, values) -> pa.RecordBatch:
+        columns = [pa.array(np.asarray(edge, bool)), pa.array(np.asarray(rows, np.int64)), pa.array(np.asarray(values, np.int64))]
+        return pa.RecordBatch.from_arrays([*named, *columns], names=[*names, "__edge", "n_rows", "n_values"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, n, v = (batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(3))
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        rows, values = np.add.reduceat(n, starts), np.add.reduceat(v, starts)
+        named = [batch.column(i).take(pa.array(starts)) for i in range(width)]
+        if held is not None:
+            if held[1] == key[0]:
+                rows[0] += held[2]
+                values[0] += held[3]
+            else:
+                yield state(held[0], [first], [held[2]], [held[3]])
+                first = False
+        done = len(starts) - 1
+        if done:
+            edge = np.zeros(done, bool)
+            edge[0], first = first, False
+            yield state([c.slice(0, done) for c in named], edge, rows[:done], values[:done])
+        held = ([c.slice(done, 1) for c in named], key[-1], int(rows[-1]), int(values[-1]))
+    if held is not None:
+        yield state(held[0], [True], [held[2]], [held[3]])
+
+
 def key_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """(keys, n_rows, n_values): rows and distinct order values of each key.
 
     Equal (key, order) pairs are counted together before anything is spread,
-    so that even a pair with a third of all rows takes up one row. `n_values`
-    counts the distinct non-null combinations of the order columns.
+    so that even a pair with a third of all rows takes up one row. Pairs are
+    range-partitioned on key and order; each partition states what it holds of
+    each key. Only its first and its last key can go on in a neighbour, and
+    only those states, at most two a partition, are shuffled and stitched. The
+    states are checkpointed, since both halves must see the same boundaries.
+    `n_values` counts the distinct non-null combinations of the order columns.
     """
-    pairs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__n"))
+    own = [*keys, *[c for c in order if c not in keys]]
+    pairs = df.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"))
     held = F.lit(True)
     for c in order:
         held = held & F.col(c).isNotNull()
-    stretch = spread(pairs, keys, order, parts)
-    # The partial aggregation of each range partition yields one state per key
-    # and partition; the exchange carries those alone, and they are added up.
-    return stretch.groupBy(*keys).agg(
-        F.sum("__n").alias("n_rows"), F.count_if(held).alias("n_values")
+    nulls = [F.col(c).isNull() for c in keys]
+    stated = spread(pairs, keys, [c for c in order if c not in keys], parts).select(
+        *keys, F.xxhash64(F.lit(0), *keys, *nulls).alias("__key"), "__n", held.cast("long").alias("__values")
     )
+    counts = [("__edge", T.BooleanType()), ("n_rows", T.LongType()), ("n_values", T.LongType())]
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, k) for c, k in counts)])
+    names = list(keys)
+    states = checkpointed(stated.mapInArrow(lambda batches: _key_states(batches, names), schema))
+    stitched = states.where("__edge").groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
+    return states.where("NOT __edge").drop("__edge").unionByName(stitched)
 
 
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,13 @@ def test_heavy_and_empty(spark):
     empty = df.where("false")
     assert heavy_keys(empty, ["k"], ["v"], 0.1).count() == 0 and with_prefix(empty, ["k"], ["v"]).count() == 0
     assert key_lists(empty, "k", "v").count() == 0
+
+
+def test_a_pair_with_a_third_of_all_rows_is_spread_and_counted_once(spark):
+    rows = [("hot", 7)] * 2000 + [("hot", i) for i in range(500)] + [(f"k{i % 300}", i % 5) for i in range(3000)] + [("hot", None)] * 600 + [(None, None)] * 700
+    df = spark.createDataFrame(rows, "k string, v long").repartition(6)
+    want = {k: (sum(r[0] == k for r in rows), len({r[1] for r in rows if r[0] == k and r[1] is not None})) for k in {r[0] for r in rows}}
+    for parts in (1, 3, 16, 64):
+        assert {r["k"]: (r["n_rows"], r["n_values"]) for r in key_counts(df, ["k"], ["v"], parts=parts).collect()} == want
+    two = key_counts(df, ["k", "v"], ["v"], parts=9)
+    assert two.where("n_rows = 2001 AND n_values = 1").count() == 1 and two.agg(F.sum("n_rows")).first()[0] == len(rows)
