@@ -62,6 +62,15 @@ def show(engine: Engine, text: str, write) -> None:
         write(line.removesuffix("\n"))
 
 
+def log_to(stream, level: int) -> None:
+    """Messages of the engine from `level` on, one line each; what a former call set up is replaced."""
+    log = logging.getLogger("palimpsest")
+    handler = logging.StreamHandler(stream)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.handlers, log.propagate = [handler], False
+    log.setLevel(level)
+
+
 def main(argv: list[str] | None = None, spark=None, read=input, write=print) -> int:
     args = parse_arguments(sys.argv[1:] if argv is None else argv)
     if args.any("h", "help") or not (args.options or args.settings or args.query):
@@ -79,7 +88,7 @@ def main(argv: list[str] | None = None, spark=None, read=input, write=print) ->
     except ConfigError as e:
         write(f"Invalid settings: {e}")
         return 1
-    logging.getLogger("palimpsest").setLevel(LEVELS[config.log_level])
+    log_to(sys.stderr, LEVELS[config.log_level])
     acts = [o for o in args.options if o in ("check", "i", "index", "s", "search")]
     if not acts and not args.query:
         write(HELP)

@@ -9,21 +9,24 @@ from palimpsest.operators.heavy_keys import with_prefix
 from palimpsest.operators.postings import first_letter
 
 
-def numbered_paths(old: DataFrame, fresh: DataFrame) -> DataFrame:
-    """PATHS after a merge. `fresh`: path, word_count, mtime, each path once.
+def path_changes(old: DataFrame, fresh: DataFrame, last: int | None = None) -> DataFrame:
+    """PATHS rows that a merge adds or renews. `fresh`: path, word_count, mtime, each path once.
 
     A known path keeps its id and gets the new count and time; new paths get
-    the next ids in order of the path.
+    the next ids in order of the path. `last`: the highest id of `old`.
     """
-    new = fresh.join(old.select("path"), "path", "left_anti")
-    last = old.agg(F.coalesce(F.max("path_id"), F.lit(0))).first()[0]
-    added = with_prefix(new, [], ["path"]).select((F.col("rank") + last + 1).alias("path_id"), "path", "word_count", "mtime")
-    renewed = fresh.select("path", F.col("word_count").alias("wc"), F.col("mtime").alias("mt"), F.lit(True).alias("seen"))
-    kept = old.join(renewed, "path", "left").select(
-        "path_id", "path", F.when(F.col("seen"), F.col("wc")).otherwise(F.col("word_count")).alias("word_count"),
-        F.when(F.col("seen"), F.col("mt")).otherwise(F.col("mtime")).alias("mtime"),
-    )
-    return kept.unionByName(added)
+    known = fresh.join(old.select("path", "path_id"), "path", "left")
+    if last is None:
+        last = old.agg(F.coalesce(F.max("path_id"), F.lit(0))).first()[0]
+    columns = ("path_id", "path", "word_count", "mtime")
+    added = with_prefix(known.where("path_id IS NULL").drop("path_id"), [], ["path"]).withColumn("path_id", F.col("rank") + last + 1)
+    return known.where("path_id IS NOT NULL").select(*columns).unionByName(added.select(*columns))
+
+
+def numbered_paths(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """PATHS after a merge: `old` with the changes that `fresh` makes."""
+    kept = old.join(fresh.select("path"), "path", "left_anti").select("path_id", "path", "word_count", "mtime")
+    return kept.unionByName(path_changes(old, fresh))
 
 
 def pairs(tokenized: DataFrame, paths: DataFrame) -> DataFrame:

@@ -27,9 +27,9 @@ def word_counts(texts: DataFrame, key: str, text: str, config: TokenizerConfig =
     return texts.select(F.col(key).cast("long").alias("path_id"), F.size(words(F.col(text), config)).cast("long").alias("word_count"))
 
 
-def tokenized_files(documents: DataFrame, config: TokenizerConfig = DEFAULT) -> DataFrame:
-    """(path, mtime, length, words) of files read with their content; every file has a row."""
-    return documents.select("path", "mtime", "length", file_words(F.col("path"), F.col("content"), config).alias("words"))
+def tokenized_files(documents: DataFrame, config: TokenizerConfig = DEFAULT, *more: str) -> DataFrame:
+    """(path, mtime, length, more, words) of files read with their content; every file has a row."""
+    return documents.select("path", "mtime", "length", *more, file_words(F.col("path"), F.col("content"), config).alias("words"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from palimpsest.operators.heavy_keys import with_prefix
 from palimpsest.plans.query import Group, Query, SearchConfig, Term, parse
 from palimpsest.schemas import RESULT
+from palimpsest.session import checkpointed
 
 ONE_TASK = 200_000  # results that one task may number
 MOST_COLUMNS = 100  # terms counted in columns of their own; beyond, the terms are joined
@@ -120,6 +121,7 @@ def ranked(found: DataFrame, paths: DataFrame, limit: int | None = None) -> Data
         found = found.orderBy(F.desc("count"), "path_id").limit(limit)
         small = limit <= ONE_TASK
     else:
+        found = checkpointed(found)  # counted and then numbered: the search runs once
         small = found.limit(ONE_TASK + 1).count() <= ONE_TASK
     if small:
         numbered = found.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("count"), "path_id")) - 1).cast("long"))
@@ -137,6 +139,7 @@ def result_lines(results: DataFrame, most: int | None = None) -> Iterator[str]:
     rows, none = results.orderBy("rank"), True
     for r in (rows if most is None else rows.limit(most)).toLocalIterator():
         none = False
+        # fixed values: the words of a result line and of an empty page
         yield f"\n {r['rank']}. {r['path']} with {r['count']} matches.\n"
     if none:
         yield "\nNo results found.\n"

@@ -262,11 +262,9 @@ put(
 
 
 def _merge_input(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The stored paths of even id as an index of their own, and every third file of the listing as new."""
-    old = stored_paths(spark, folder).where("path_id % 2 = 0")
-    old = old.select((F.col("path_id") / 2).cast("long").alias("path_id"), "path", "word_count", "mtime")
+    """All stored paths as the index, and all files of the listing as read again or new."""
     fresh = read_table(spark, folder, "scan_listing").where("path IS NOT NULL").groupBy("path")
-    return old, fresh.agg(F.max("length").alias("word_count"), F.max("mtime").alias("mtime"))
+    return stored_paths(spark, folder), fresh.agg(F.max("length").alias("word_count"), F.max("mtime").alias("mtime"))
 
 
 def merge_path_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,14 +274,12 @@ def merge_path_ids(spark: SparkSession, folder: str) -> DataFrame:
 put(
     "merge_path_ids",
     merge_path_ids,
-    """WITH old AS (SELECT path_id // 2 AS path_id, any_value(path) AS path,
-       coalesce(max_by(word_count, mtime), arg_max(word_count, word_count)) AS wc, max(mtime) AS mt FROM paths WHERE path_id % 2 = 0 GROUP BY path_id),
-last AS (SELECT path_id // 2 AS path_id, word_count AS wc, mtime AS mt FROM (SELECT *, row_number() OVER (PARTITION BY path_id
-         ORDER BY mtime DESC NULLS LAST, word_count DESC NULLS LAST) AS k FROM paths WHERE path_id % 2 = 0) WHERE k = 1),
+    """WITH old AS (SELECT path_id, path, word_count AS wc, mtime AS mt FROM (SELECT *, row_number() OVER (PARTITION BY path_id
+         ORDER BY mtime DESC NULLS LAST, word_count DESC NULLS LAST, path DESC) AS k FROM paths WHERE path_id IS NOT NULL) WHERE k = 1),
 fresh AS (SELECT path, max(length) AS wc, max(mtime) AS mt FROM scan_listing WHERE path IS NOT NULL GROUP BY path)
-SELECT o.path_id, o.path, CASE WHEN f.path IS NULL THEN coalesce(l.wc, 0) ELSE f.wc END AS word_count,
-       CASE WHEN f.path IS NULL THEN l.mt ELSE f.mt END AS mtime
-FROM old o JOIN last l ON l.path_id = o.path_id LEFT JOIN fresh f ON f.path = o.path
+SELECT o.path_id, o.path, CASE WHEN f.path IS NULL THEN coalesce(o.wc, 0) ELSE f.wc END AS word_count,
+       CASE WHEN f.path IS NULL THEN o.mt ELSE f.mt END AS mtime
+FROM old o LEFT JOIN fresh f ON f.path = o.path
 UNION ALL
 SELECT (SELECT max(path_id) FROM old) + row_number() OVER (ORDER BY encode(path)), path, wc, mt
 FROM fresh WHERE path NOT IN (SELECT path FROM old)""",

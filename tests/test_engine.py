@@ -203,3 +203,89 @@ def test_command_line(spark, tree, tmp_path):
     assert say("-i", "--config_file=/none") == 1
     args = parse_arguments(["-a", "--k=v=w", "--check", "some", "-x"])
     assert (args.options, args.settings, args.query) == (["a", "check"], {"k": "v=w"}, "some -x")
+
+
+def test_unread_files_are_tried_again(engine, tree, monkeypatch, spark):
+    bad = write(tree, "locked.txt", "hidden treasure\n")
+    os.utime(bad, (0, 0))
+    import palimpsest.engine as module
+
+    read = module.read_files
+    with monkeypatch.context() as m:
+        # permissions do not stop root, so the content is taken away on the way
+        m.setattr(module, "read_files", lambda *a: read(*a).withColumn("content", F.when(F.col("path").endswith("/locked.txt"), None).otherwise(F.col("content"))))
+        assert engine.index()["n_paths"] == 3
+    assert hits(engine, "treasure") == {} and [r["path"] for r in engine.store.unread().collect()] == [str(bad)]
+    assert engine.index()["n_paths"] == 4 and hits(engine, "treasure") == {"locked.txt": 1}
+    assert engine.store.unread().count() == 0 and "No corruption" in report(engine.check())
+    assert read_files(spark.createDataFrame([("/none/at/all", None, 1)], "path string, mtime timestamp, length long")).first()["content"] is None
+
+
+def test_a_root_with_a_scheme(spark, tree):
+    plain, named = (wanted(list_tree(spark, r)) for r in (str(tree), f"file://{tree}"))
+    a = {(os.path.basename(r["path"]), r["mtime"], bytes(r["content"])) for r in read_files(plain).collect()}
+    b = {(os.path.basename(r["path"]), r["mtime"], bytes(r["content"])) for r in read_files(named, parts=3).collect()}
+    assert a == b and len(a) == 3
+    assert list_tree(spark, f"file://{tree}/missing").count() == 0
+
+
+def test_a_flat_folder_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(200):
+        write(tmp_path / "flat", f"f{i}.txt", "some words\n")
+    listing = list_tree(spark, str(tmp_path / "flat"))
+    assert listing.rdd.getNumPartitions() > 4
+    sizes = [r["count"] for r in listing.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 and max(sizes) < 100
+
+
+def test_runs_write_only_what_changed(engine, tree):
+    engine.index()
+    write(tree, "three.txt", "orchard words\n")
+    made = engine.index()
+    assert made["paths"] == ["paths/version=1", "paths/version=2"]
+    assert engine.store._path_rows(["paths/version=2"]).count() < 4 and engine.store.paths().count() == 4
+    with engine.lock(), pytest.raises(LockTimeout):
+        engine.store.compact(timeout=0)
+    assert engine.store.compact()["paths"] == ["paths/version=3"] and engine.store.paths().count() == 4
+
+
+def test_totals_are_logged(spark, tree, tmp_path, capsys):
+    paths = [f"--index_path={tmp_path / 'i'}", f"--config_path_to_scan={tree}", "--config_file=/none"]
+    assert main(["-i", "--config_min_log_level=2", *paths], spark=spark, write=lambda _: None) == 0
+    assert "read 3 files" in capsys.readouterr().err
+    assert main(["-i", "-a", *paths], spark=spark, write=lambda _: None) == 0
+    assert "read" not in capsys.readouterr().err
+
+
+def test_leftover_locks(tmp_path):
+    lock = IndexLock(tmp_path, timeout=0)
+    lock.path.write_text("")
+    assert lock.status() == "taken"  # somebody may be about to write
+    with pytest.raises(LockTimeout):
+        lock.acquire()
+    os.utime(lock.path, (0, 0))
+    assert lock.status() == "free"
+    with lock, pytest.raises(LockTimeout):
+        IndexLock(tmp_path, timeout=0).acquire()
+    assert os.listdir(tmp_path) == []
+
+
+def test_two_takers_of_a_leftover_lock(tmp_path):
+    """One has seen the leftover; before it acts, the other takes it over."""
+    slow, quick = IndexLock(tmp_path, timeout=0), IndexLock(tmp_path, timeout=0)
+    slow.path.write_text("nobody")
+    os.utime(slow.path, (0, 0))
+    read = slow.files.read_text
+    calls = []
+
+    def late(name):
+        text = read(name)
+        if not calls:
+            calls.append(1)
+            quick.acquire()
+        return text
+
+    slow.files.read_text = late
+    slow._stale = lambda text: True
+    slow._remove_leftover()
+    assert read(quick.path.name) == quick.mark and quick.held
