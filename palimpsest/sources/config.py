@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -43,14 +44,18 @@ class EngineConfig:
     min_char: int = 4
 
 
+def parse_lines(lines: Iterable[str]) -> dict[str, str]:
+    """Known keys of ``key=value`` lines, split at the first ``=``. Other lines and empty values give nothing."""
+    pairs = (line.partition("=") for line in lines)
+    return {k: v for k, sign, v in pairs if sign and v and k in DEFAULTS}
+
+
 def read_pairs(path: str | Path) -> dict[str, str]:
-    """Known keys of ``key=value`` lines, split at the first ``=``. A missing file, other lines and empty values give nothing."""
+    """The pairs of a file; a missing one has none."""
     try:
-        lines = Path(path).read_text().splitlines()
+        return parse_lines(Path(path).read_text().splitlines())
     except OSError:
         return {}
-    pairs = (line.partition("=") for line in lines)
-    return {k: v for k, sign, v in pairs if sign and v and k in DEFAULTS}
 
 
 def load(overrides: dict[str, str] | None = None, file: str | Path | None = None) -> EngineConfig:
