@@ -74,7 +74,7 @@ def _key_states(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iter
         yield state(held[0], [True], [held[2]], [held[3]])
 
 
-def key_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None, times: str | None = None) -> DataFrame:
     """(keys, n_rows, n_values): rows and distinct order values of each key.
 
     Equal (key, order) pairs are counted together before anything is spread,
@@ -84,9 +84,11 @@ def key_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts:
     only those states, at most two a partition, are shuffled and stitched. The
     states are checkpointed, since both halves must see the same boundaries.
     `n_values` counts the distinct non-null combinations of the order columns.
+    With `times`, `df` has each pair once already, and that column says how
+    often it stands for a row.
     """
     own = [*keys, *[c for c in order if c not in keys]]
-    pairs = df.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = df.select(*own, F.col(times).alias("__n")) if times else df.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"))
     held = F.lit(True)
     for c in order:
         held = held & F.col(c).isNotNull()
@@ -227,7 +229,12 @@ def key_lists(df: DataFrame, key: str, value: str, chunk: int = 10_000, parts: i
     )
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], share: float) -> DataFrame:
-    """Keys (with n_rows, n_values) that hold more than `share` of all `rows`."""
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return key_counts(rows, keys, order).where(F.col("n_rows") > F.lit(share) * total)
+def pair_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(columns, n): how often each combination stands in `rows`; checkpointed, for several `heavy_keys` to read."""
+    return checkpointed(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")))
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], share: float, times: str | None = None) -> DataFrame:
+    """Keys (with n_rows, n_values) that hold more than `share` of all `rows`. `times`: as for `key_counts`."""
+    total = rows.agg(F.coalesce(F.sum(times) if times else F.count(F.lit(1)), F.lit(0)).alias("t")).scalar()
+    return key_counts(rows, keys, order, times=times).where(F.col("n_rows") > F.lit(share) * total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.heavy_keys import heavy_keys, key_counts, key_lists
+from palimpsest.operators.heavy_keys import heavy_keys, key_counts, key_lists, pair_counts
 from palimpsest.operators.incremental import replay
 from palimpsest.session import read_table
 
@@ -37,9 +37,9 @@ def reversed_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = valid_postings(spark, folder)
-    words = heavy_keys(rows, ["word"], ["path_id"], 0.015).select(F.lit("word").alias("field"), F.col("word").alias("value"))
-    paths = heavy_keys(rows, ["path_id"], ["word"], 0.015).select(
+    pairs = pair_counts(valid_postings(spark, folder), ["word", "path_id"])
+    words = heavy_keys(pairs, ["word"], ["path_id"], 0.015, "n").select(F.lit("word").alias("field"), F.col("word").alias("value"))
+    paths = heavy_keys(pairs, ["path_id"], ["word"], 0.015, "n").select(
         F.lit("path_id").alias("field"), F.col("path_id").cast("string").alias("value")
     )
     return words.unionByName(paths)

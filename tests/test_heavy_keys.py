@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators.heavy_keys import heavy_keys, key_counts, key_lists, with_prefix
+from palimpsest.operators.heavy_keys import heavy_keys, key_counts, key_lists, pair_counts, with_prefix
 
 
 def rows_of(rng, n=3000):
@@ -71,6 +71,9 @@ def test_lists(spark):
 def test_heavy_and_empty(spark):
     df = spark.createDataFrame(rows_of(random.Random(4)), SCHEMA)
     assert [r["k"] for r in heavy_keys(df, ["k"], ["v"], 0.25).collect()] == ["hot"]
+    pairs = pair_counts(df, ["k", "v"])
+    assert [r["k"] for r in heavy_keys(pairs, ["k"], ["v"], 0.25, "n").collect()] == ["hot"]
+    assert heavy_keys(pairs.where("false"), ["k"], ["v"], 0.1, "n").count() == 0
     empty = df.where("false")
     assert heavy_keys(empty, ["k"], ["v"], 0.1).count() == 0 and with_prefix(empty, ["k"], ["v"]).count() == 0
     assert key_lists(empty, "k", "v").count() == 0
