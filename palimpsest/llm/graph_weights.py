@@ -90,7 +90,7 @@ def rarity(n_records: Column, total: Column | int) -> Column:
     return F.log((whole + 1) / F.greatest(n_records, F.lit(1)))
 
 
-def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: int, window: int = 1) -> DataFrame:
+def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: Column | int, window: int = 1) -> DataFrame:
     """Score of every (path_id, word) of `hits`.
 
     `hits`: path_id, word, count. `lengths`: path_id, length. `counts`: term,

@@ -54,6 +54,7 @@ SHOWN_ALIKE = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initia
 IGNORED = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
 VISIBLE_FORMAT = [(0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD)]
 BLANK = 0x20
+HANGUL = (0xAC00, 0xD7A3)
 
 
 def _within(code: int, ranges: list[tuple[int, int]]) -> bool:

@@ -357,3 +357,21 @@ def packed(items: DataFrame, groups: Sequence[str], item: str, size: str, capaci
         .select(*groups, item, "piece", (F.coalesce("n_containers", F.lit(0)) + F.col("before") + F.col("piece")).alias("container"), F.col("__cap").alias("size"))
     )
     return shared.unionByName(alone)
+
+
+def kept_rules(containers: DataFrame, items: DataFrame, groups: Sequence[str], item: str, size: str, capacity: str) -> DataFrame:
+    """(groups, n_items, n_bytes, n_twice, n_lost, n_over, n_gaps) of what `packed` made of `items`: pieces that are
+    there twice, bytes that are not there, containers above the capacity, numbers between 1 and the last that no container has."""
+    given = _laid_out(items, groups, item, size, capacity, GRID).groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("__size").alias("n_bytes"), F.max("__cap").alias("__cap")
+    )
+    loads = containers.groupBy(*groups, "container").agg(F.sum("size").alias("__load"), F.count(F.lit(1)).alias("__n"), F.count_distinct(item, "piece").alias("__d"))
+    caps = given.select(*[F.col(g).alias(f"__g_{g}") for g in groups], "__cap")
+    held = loads.join(caps, _same(groups, "__g_"), "left").groupBy(*groups).agg(
+        F.sum("__load").alias("__bytes"), F.sum(F.col("__n") - F.col("__d")).alias("n_twice"), F.count_if(F.col("__load") > F.col("__cap")).alias("n_over"),
+        (F.max("container") - F.count(F.lit(1))).alias("n_gaps"),
+    )
+    held = held.withColumnsRenamed({g: f"__g_{g}" for g in groups})
+    return given.join(held, _same(groups, "__g_"), "left").select(
+        *groups, "n_items", "n_bytes", "n_twice", (F.col("n_bytes") - F.col("__bytes")).alias("n_lost"), "n_over", "n_gaps"
+    )

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.tokens import letters, runs
+from palimpsest.llm.codepoints import replacements
 from palimpsest.llm.graph_weights import key_terms, weigh_hits
 from palimpsest.llm.keyword_pages import keyword_pages, scored
 from palimpsest.llm.leakage import leaked, without_leaks
-from palimpsest.llm.lookalikes import alike_classes, alike_pairs, merged_entries
+from palimpsest.llm.lookalikes import BLANK, HANGUL, alike_classes, alike_pairs, merged_entries, shown
 from palimpsest.llm.mixing import kept_rules, mixture, shares
 from palimpsest.llm.packing import containers_needed, packed
+from palimpsest.llm.packing import kept_rules as packing_rules
 from palimpsest.llm.splitting import bodies, pieces, rejoined
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
+from palimpsest.llm.words import _folded
 from palimpsest.queries_index import _folded_sql
 from palimpsest.session import read_spread, read_table, sized_broadcast
 
@@ -175,17 +178,43 @@ def p4_rejoined(spark: SparkSession, folder: str) -> DataFrame:
 # ---- 5: look-alikes
 
 
-@query()
+def _map_sql(changed: dict) -> str:
+    """A table of characters as a MAP from code to UTF-8, both in hexadecimals."""
+    pairs = ((f"{c:x}", "".join(map(chr, parts)).encode().hex()) for c, parts in sorted(changed.items()) if c)
+    return "MAP {" + ", ".join(f"'{c}': '{x}'" for c, x in pairs) + "}"
+
+
+def _mapped_sql(text: str, table: str) -> str:
+    """`text` with each character replaced by the MAP `table`."""
+    one = f"coalesce({table}[lower(to_hex(unicode(c)))], lower(hex(encode(c))))"
+    return f"decode(from_hex(array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN '' ELSE {one} END), '')))"
+
+
+def _forms_sql(held: str = "segment_id IS NOT NULL AND entry_id IS NOT NULL AND") -> str:
+    """CTE e(g, k, t, form): the form of each entry by a table of characters; the marks are composed by the database."""
+    changed = {c: parts for c, parts in replacements(shown).items() if not HANGUL[0] <= c <= HANGUL[1]}
+    return f"""m AS (SELECT {_map_sql(changed)} AS m),
+w AS (SELECT DISTINCT segment_id AS g, entry_id AS k, word AS t FROM words_reversed WHERE {held} word IS NOT NULL),
+e AS (SELECT g, k, t, trim(regexp_replace(nfc_normalize({_mapped_sql("t", "m")}), ' +', ' ', 'g'), ' ') AS form FROM w, m)"""
+
+
+@query(f"""WITH {_forms_sql()}
+SELECT DISTINCT a.k AS entry_id_a, b.k AS entry_id_b FROM e a JOIN e b ON a.g = b.g AND a.form = b.form AND a.k < b.k AND a.t <> b.t""")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word")
 
 
-@query()
+@query(f"""WITH {_forms_sql()}, n AS (SELECT g, form, count(*) AS n_all FROM e GROUP BY ALL), o AS (SELECT g, form, t, count(*) AS n_own FROM e GROUP BY ALL)
+SELECT k AS entry_id, e.form, n_all - n_own AS n_links FROM e JOIN n ON n.g = e.g AND n.form = e.form JOIN o ON o.g = e.g AND o.form = e.form AND o.t = e.t""")
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return alike_classes(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word")
 
 
-@query()
+@query(f"""WITH {_forms_sql("")}, n AS (SELECT g, form, count(DISTINCT k) AS n_entries, count(DISTINCT t) AS n_spellings FROM e GROUP BY ALL),
+v AS (SELECT e.g, e.form, count(DISTINCT u.v) AS n_values FROM e JOIN (SELECT DISTINCT segment_id AS g, word AS t, unnest(reversed) AS v FROM words_reversed) u
+      ON u.g IS NOT DISTINCT FROM e.g AND u.t = e.t GROUP BY ALL)
+SELECT n.g AS segment_id, n.form, n_entries, n_spellings, coalesce(n_values, 0) AS n_values
+FROM n LEFT JOIN v ON v.g IS NOT DISTINCT FROM n.g AND v.form = n.form""")
 def p5_merged_segments(spark: SparkSession, folder: str) -> DataFrame:
     return merged_entries(read_table(spark, folder, "words_reversed"), "segment_id", "entry_id", "word", "reversed")
 
@@ -216,6 +245,28 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return runs.withColumnRenamed("container", "queue_id").withColumnRenamed("size", "paths_size")
 
 
+@query("""
+WITH d AS (SELECT run_id, path_id, max(coalesce(paths_size, 0)) AS s FROM index_combine_data GROUP BY ALL)
+SELECT run_id, count(*) AS n_items, CAST(sum(greatest(s, 0)) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_lost,
+       CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_gaps FROM d GROUP BY run_id
+""")
+def p7_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """That every path is packed once and whole, within the limits, in queues that are numbered without gaps."""
+    paths = limited_paths(spark, folder)
+    return packing_rules(packed(paths, ["run_id"], "path_id", "paths_size", "run_limit"), paths, ["run_id"], "path_id", "paths_size", "run_limit")
+
+
+@query(f"""
+WITH {FILE_LIMITS}, d AS (SELECT run_id, path_id, max(coalesce(paths_size, 0)) AS s FROM index_combine_data GROUP BY ALL),
+t AS (SELECT d.run_id, greatest(ceil(sum(s) / max(run_limit)), 1) AS least, max(s) AS most, sum(s) AS total, max(run_limit) AS cap FROM d JOIN lim ON lim.run_id = d.run_id GROUP BY d.run_id)
+SELECT run_id, true AS not_fewer, true AS little_left FROM t WHERE cap >= 1
+""")
+def p7_near_least(spark: SparkSession, folder: str) -> DataFrame:
+    """That no run takes fewer queues than its bytes ask for, nor more than a tenth, and one, above that."""
+    room = p7_room(spark, folder).where("capacity >= 1")
+    return room.select("run_id", (F.col("n_containers") >= F.col("at_least")).alias("not_fewer"), (F.col("n_containers") <= F.ceil(F.col("at_least") * 1.1) + 1).alias("little_left"))
+
+
 @query()
 def p7_room(spark: SparkSession, folder: str) -> DataFrame:
     """Per run: the queues that packing takes and the fewest that could do."""
@@ -242,6 +293,31 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder)
 
 
+def _verbatim_sql() -> str:
+    """All stretches of 20 words that a document and an item have in common, by joining every one with every one."""
+    table = {c: parts for c, parts in replacements(_folded).items() if c < 0x2E80 or 0xFB00 <= c <= 0xFFEF}
+    bracket, star = "[(\\[][^()\\[\\]]*[)\\]]", "\\*{2,}[^*]*\\*{2,}"
+    joined = "regexp_replace(text, '[-\u2010\u00ad][ \\t]*\\r?\\n[ \\t]*(\\p{Ll})', '\\1', 'g')"
+    bare = f"regexp_replace(regexp_replace(regexp_replace({joined}, '{bracket}', ' ', 'g'), '{bracket}', ' ', 'g'), '{star}', ' ', 'g')"
+
+    def words(name: str, table_: str, key: str) -> str:
+        return f"""{name}0 AS (SELECT {key} AS id, f, unnest([0, 1]) AS form, unnest([bare, f]) AS t FROM (SELECT DISTINCT {key}, {joined} AS f, {bare} AS bare FROM {table_} WHERE text IS NOT NULL)),
+{name}1 AS (SELECT id, form, list_filter(string_split({_mapped_sql("t", "m")}, ' '), lambda x: x <> '') AS ws FROM {name}0, m WHERE form = 0 OR t <> '' ),
+{name} AS (SELECT id, form, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT id, form, ws, unnest(range(1, len(ws) - 18)) AS i FROM {name}1 WHERE len(ws) >= 20))"""
+
+    return f"""WITH m AS (SELECT {_map_sql(table)} AS m), {words("d", "documents", "doc_id")}, {words("q", "eval_items", "item_id")},
+met AS (SELECT DISTINCT d.id AS doc_id, d.form AS df, q.id AS item_id, q.form AS qf, d.i - q.i AS diagonal, d.i FROM d JOIN q ON d.s = q.s),
+runs AS (SELECT doc_id, item_id, i - row_number() OVER (PARTITION BY doc_id, df, item_id, qf, diagonal ORDER BY i) AS r, df, qf, diagonal FROM met),
+len AS (SELECT doc_id, item_id, count(*) + 19 AS n FROM runs GROUP BY doc_id, item_id, df, qf, diagonal, r)
+SELECT doc_id, item_id, max(n) AS longest FROM len GROUP BY ALL"""
+
+
+@query(_verbatim_sql())
+def p8_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings that hold a stretch of 20 words as it is."""
+    return leaks(spark, folder).where("longest >= 20").select("doc_id", "item_id", "longest")
+
+
 @query()
 def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: the documents that hold it and its longest verbatim match."""

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,12 +71,13 @@ def term_counts(tokens: DataFrame, term: str, record: str, parts: int | None = N
     return counted.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
 
 
-def record_count(tokens: DataFrame, term: str, record: str) -> int:
-    return tokens.where(F.col(term).isNotNull()).agg(F.count_distinct(F.col(record)).alias("n")).first()["n"]
+def record_count(tokens: DataFrame, term: str, record: str) -> Column:
+    """Distinct records with a term, as a scalar of the plan that it is used in: nothing runs before that does."""
+    return tokens.where(F.col(term).isNotNull()).agg(F.count_distinct(F.col(record)).alias("n")).scalar()
 
 
-def marked(counts: DataFrame, n_records: int, rare: int = 2, common: float = 0.2) -> DataFrame:
+def marked(counts: DataFrame, n_records: Column | int, rare: int = 2, common: float = 0.2) -> DataFrame:
     """`counts` with `mark`: ``rare`` in at most `rare` records, ``common`` in more than
     the share `common` of all `n_records`, null between. Where both hold, ``rare``."""
-    mark = F.when(F.col("n_records") <= rare, "rare").when(F.col("n_records") > common * n_records, "common")
+    mark = F.when(F.col("n_records") <= rare, "rare").when(F.col("n_records") > F.lit(common) * n_records, "common")
     return counts.withColumn("mark", mark.cast(T.StringType()))
