@@ -36,7 +36,7 @@ def put(name: str, query, sql: str) -> None:
 _LETTERS = ", ".join(f"'{ord(a):02X}': '{b}'" for a, b in (BYTES | dict(zip(LOWER, LOWER))).items())
 
 
-def _folded_sql(hexed: str) -> str:
+def folded_sql(hexed: str) -> str:
     """Text of a-z, with ``!`` for every other byte, from hexadecimal digits."""
     return f"array_to_string(list_transform(regexp_extract_all({hexed}, '..'), lambda h: coalesce(MAP {{{_LETTERS}}}[h], '!')), '')"
 
@@ -48,7 +48,7 @@ words AS (SELECT DISTINCT {key}, word FROM (SELECT {key}, unnest(a[:len(a) - 1])
           UNION SELECT {key}, a[-1] FROM runs WHERE length(a[-1]) BETWEEN 4 AND 19)"""
 
 
-DOC_WORDS = _words_sql("documents", "doc_id", _folded_sql("hex(encode(coalesce(text, '')))"))
+DOC_WORDS = _words_sql("documents", "doc_id", folded_sql("hex(encode(coalesce(text, '')))"))
 POSTINGS = f"WITH {DOC_WORDS}, p AS (SELECT left(word, 1) AS letter, word, doc_id AS path_id FROM words)"
 
 
@@ -72,7 +72,7 @@ put(
 put(
     "tok_folded",
     lambda s, d: text_postings(documents(s, d), "doc_id", "text", TokenizerConfig(accents="folded")),
-    f"WITH {_words_sql('documents', 'doc_id', _folded_sql(f'''hex(encode(translate(coalesce(text, {chr(39) * 2}), {chr(39)}{ACCENTED}{chr(39)}, {chr(39)}{BASE}{chr(39)})))'''))} "
+    f"WITH {_words_sql('documents', 'doc_id', folded_sql(f'''hex(encode(translate(coalesce(text, {chr(39) * 2}), {chr(39)}{ACCENTED}{chr(39)}, {chr(39)}{BASE}{chr(39)})))'''))} "
     "SELECT left(word, 1) AS letter, word, doc_id AS path_id FROM words",
 )
 
@@ -93,7 +93,7 @@ put(
     f"""WITH f AS (SELECT path, arg_max(content, (modificationtime, run_id)) AS content FROM files GROUP BY path),
 parts AS (SELECT path, hex(coalesce(content, ''::BLOB)) AS x FROM f WHERE path LIKE '%.txt' UNION ALL
          SELECT path, hex(encode(string_split(path, '/')[-1])) FROM f WHERE path LIKE '%.txt'),
-{_words_sql("parts", "path", _folded_sql("x"))} SELECT path, word FROM words""",
+{_words_sql("parts", "path", folded_sql("x"))} SELECT path, word FROM words""",
 )
 put("dict_words", lambda s, d: doc_postings(s, d).select("word").distinct(), f"{POSTINGS} SELECT DISTINCT word FROM p")
 put("dict_letters", lambda s, d: letter_table(doc_postings(s, d)), f"{POSTINGS} SELECT letter, count(DISTINCT word) AS n_words, min(word) AS first_word FROM p GROUP BY letter")
@@ -247,7 +247,7 @@ def merge_replaced(spark: SparkSession, folder: str) -> DataFrame:
 
 put("merge_additive", merge_additive, SQL["tok_postings"])
 put("merge_idempotent", merge_idempotent, SQL["tok_postings"])
-_CHANGED = _words_sql("(SELECT doc_id, 'amended schedule ' || text || ' annex' AS text FROM documents)", "doc_id", _folded_sql("hex(encode(coalesce(text, '')))"))
+_CHANGED = _words_sql("(SELECT doc_id, 'amended schedule ' || text || ' annex' AS text FROM documents)", "doc_id", folded_sql("hex(encode(coalesce(text, '')))"))
 put(
     "merge_updated",
     merge_updated,
@@ -371,3 +371,6 @@ put(
     """SELECT count(*) AS n_files, CAST(coalesce(sum(octet_length(content)), 0) AS BIGINT) AS n_bytes, count(*) FILTER (octet_length(content) = 0) AS n_empty
 FROM (SELECT path, arg_max(content, (modificationtime, run_id)) AS content FROM files GROUP BY path)""",
 )
+
+
+_folded_sql = folded_sql
