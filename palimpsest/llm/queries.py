@@ -17,7 +17,8 @@ from palimpsest.llm.packing import kept_rules as packing_rules
 from palimpsest.llm.splitting import bodies, pieces, rejoined
 from palimpsest.llm.vocabulary import marked, record_count, term_counts
 from palimpsest.llm.words import _folded
-from palimpsest.queries_index import _folded_sql
+from palimpsest.queries_data import valid_postings
+from palimpsest.queries_index import folded_sql
 from palimpsest.session import read_spread, read_table, sized_broadcast
 
 QUERIES: dict = {}
@@ -37,10 +38,6 @@ def query(sql: str | None = None):
 # ---- 1 and 2: terms
 
 
-def valid_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "postings").select("word", "path_id").where("word IS NOT NULL AND path_id <> 0")
-
-
 def hit_scores(spark: SparkSession, folder: str) -> DataFrame:
     hits = read_table(spark, folder, "search_query_result").select(
         "path_id", F.trim(F.regexp_replace(F.lower("query"), "[\"'“”„«»]", "")).alias("word"), "count"
@@ -85,7 +82,7 @@ def p1_hit_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, string_split_regex({_folded_sql("hex(encode(text))")}, '[^a-z]') AS a
+WITH r AS (SELECT doc_id, string_split_regex({folded_sql("hex(encode(text))")}, '[^a-z]') AS a
            FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 u AS (SELECT doc_id, len(a) AS n, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM r),
 t AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM u
