@@ -371,6 +371,3 @@ put(
     """SELECT count(*) AS n_files, CAST(coalesce(sum(octet_length(content)), 0) AS BIGINT) AS n_bytes, count(*) FILTER (octet_length(content) = 0) AS n_empty
 FROM (SELECT path, arg_max(content, (modificationtime, run_id)) AS content FROM files GROUP BY path)""",
 )
-
-
-_folded_sql = folded_sql
