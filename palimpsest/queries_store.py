@@ -9,6 +9,9 @@ from __future__ import annotations
 import datetime as dt
 import io
 import logging
+import os
+import socket
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -343,8 +346,6 @@ def _tree(spark: SparkSession, folder: str) -> str:
         rows = qi._file_rows(spark, folder).select("path", "content").where("path IS NOT NULL")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import os
-
             for batch in batches:
                 for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     system, inner, _ = _opened(f"{root}/{path.lstrip('/')}")
@@ -359,6 +360,10 @@ def _tree(spark: SparkSession, folder: str) -> str:
                 yield batch.select(["path"])
 
         rows.mapInArrow(work, "path string").count()
+        # folders that look like files are none
+        for name in ("folder.txt", "sub/folder.md"):
+            system, inner, _ = _opened(f"{root}/{name}")
+            system.create_dir(inner) if system is not None else os.makedirs(inner, exist_ok=True)
         return root
 
     return _once(spark, folder, "tree", make)
@@ -439,8 +444,6 @@ def lock_states(spark: SparkSession, folder: str) -> DataFrame:
         seen.append("refused")
     one.release()
     seen.append(one.status())
-    import socket
-
     files.create("index.lock", f"{socket.gethostname()} 999999999")
     seen.append(other.status())
     other.acquire()
@@ -480,3 +483,38 @@ def store_known_paths(spark: SparkSession, folder: str) -> DataFrame:
     again = Engine(spark, EngineConfig(built(spark, folder).config.index_path, ROOT))
     mark = again.store.last_updated().replace(tzinfo=None)
     return again.store.paths().select("path", "word_count", F.lit(mark).cast("timestamp_ntz").alias("last_updated"))
+
+
+@put(_values([(0, 0, 0, 0, 0, True)], "n_hits, paths, postings, words, version, healthy"))
+def store_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder without an index is an empty one."""
+    engine = _engine(spark, "empty")
+    stats = engine.store.stats()
+    row = (engine.search("anything").count(), *(stats[k] for k in ("paths", "postings", "words", "version")), engine.store.healthy())
+    return _table(spark, [row], "n_hits long, paths long, postings long, words long, version long, healthy boolean")
+
+
+@put(f"""WITH {_FILES} SELECT unnest([0, 1, 2]) AS line_no,
+unnest(['Indexed: version 1, ' || count(*) || ' paths.', 'No corruption found.', chr(10) || 'No results found.']) AS line FROM f WHERE {qi._WANTED}""")
+def cli_index_check_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Index, check and query by the command line, with a settings file whose root an option replaces."""
+    engine, lines = _engine(spark, "by hand", _tree(spark, folder)), []
+    settings = os.path.join(tempfile.mkdtemp(prefix="palimpsest-settings-"), "config.txt")
+    with open(settings, "w") as f:
+        f.write(f"# where\nindex_path={engine.config.index_path}\nconfig_path_to_scan=/nowhere\nlock_acquisition_timeout=0\n")
+    main([f"--config_file={settings}", f"--config_path_to_scan={engine.config.path_to_scan}", "-i", "--check", "xyzzyqwkplm"], spark=spark, write=lines.append)
+    return _table(spark, list(enumerate(lines)), "line_no long, line string")
+
+
+@put(f"WITH {_FILES} SELECT {_BELOW} AS path FROM f WHERE {qi._WANTED} AND path LIKE '%.txt'")
+def cli_current_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """What is indexed of the folder that the command is given in: all of it, whatever the settings say."""
+    root, engine = _tree(spark, folder), _engine(spark, "current", "/nowhere")
+    before = os.getcwd()
+    try:
+        os.chdir(root)
+        main(["-c", "-i", f"--index_path={engine.config.index_path}", "--config_path_to_scan=/nowhere", "--config_file=/none"], spark=spark, write=lambda _: None)
+    finally:
+        os.chdir(before)
+    below = engine.store.paths().select(F.regexp_replace("path", f"^.*{os.path.basename(root)}", "").alias("path"))
+    return below.where("path LIKE '%.txt'")
