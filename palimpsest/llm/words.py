@@ -21,7 +21,8 @@ from palimpsest.llm.lookalikes import shown
 SEPARATOR = 0x20
 
 
-OPENING, CLOSING, STAR = (np.array([ord(c) for c in x], np.uint32) for x in ("([", ")]", "*"))
+OPENING, CLOSING, DASHES, BLANKS = (np.array([ord(c) for c in x], np.uint32) for x in ("([", ")]", "–—", " \t\r\n\u00a0"))
+STAR, COLON = ord("*"), ord(":")
 
 
 def joined_lines(text: Column) -> Column:
@@ -30,7 +31,8 @@ def joined_lines(text: Column) -> Column:
 
 
 def in_remarks(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where a bracketed remark (one may interrupt another) or one between runs of asterisks is, of any length.
+    """Where a remark is, of any length: in brackets (one may interrupt another), between runs of
+    asterisks, or between dashes that stand alone, with a colon after whoever speaks.
 
     What opens and is not closed in its row is no remark.
     """
@@ -43,24 +45,39 @@ def in_remarks(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begins.append(marks[pair])
         ends.append(marks[pair + 1])
         marks = np.delete(marks, np.concatenate((pair, pair + 1)))
-    stars = np.flatnonzero(codes == STAR[0])
+    stars = np.flatnonzero(codes == STAR)
     if len(stars):
         row = np.searchsorted(offsets, stars, "right")
         heads = np.flatnonzero(np.concatenate(([True], (np.diff(stars) > 1) | (row[1:] != row[:-1]))))
         many = np.diff(np.append(heads, len(stars))) > 1
-        # from one run of at least two to the next; every second stretch between such runs is text again
-        follows = np.flatnonzero(many[:-1] & many[1:] & (row[heads[:-1]] == row[heads[1:]]))
-        chain = np.cumsum(np.concatenate(([True], np.diff(follows) > 1))) if len(follows) else follows
-        place = np.arange(len(follows)) - np.searchsorted(chain, chain)
-        follows = follows[place % 2 == 0]
-        begins.append(stars[heads[follows]])
-        ends.append(stars[heads[follows + 1]])
+        pair = _in_turn(many[:-1] & many[1:] & (row[heads[:-1]] == row[heads[1:]]))
+        begins.append(stars[heads[pair]])
+        ends.append(stars[heads[pair + 1]])
+    dashes = np.flatnonzero(np.isin(codes, DASHES))
+    if len(dashes):
+        around = np.concatenate(([0x20], codes, [0x20]))
+        dashes = dashes[np.isin(around[dashes], BLANKS) & np.isin(around[dashes + 2], BLANKS)]
+        row = np.searchsorted(offsets, dashes, "right")
+        colons = np.searchsorted(np.flatnonzero(codes == COLON), dashes)
+        pair = _in_turn((colons[1:] > colons[:-1]) & (row[1:] == row[:-1])) if len(dashes) else dashes
+        begins.append(dashes[pair])
+        ends.append(dashes[pair + 1])
     depth = np.zeros(len(codes) + 1, np.int32)
     np.add.at(depth, np.concatenate(begins), 1)
     np.add.at(depth, np.concatenate(ends) + 1, -1)
     return np.cumsum(depth)[:-1] > 0
 
 
+def _in_turn(follows: np.ndarray) -> np.ndarray:
+    """Of stretches between neighbouring marks those that count, the first of each chain and every second after it:
+    what closes one does not open another."""
+    held = np.flatnonzero(follows)
+    if not len(held):
+        return held
+    chain = np.cumsum(np.concatenate(([True], np.diff(held) > 1)))
+    return held[(np.arange(len(held)) - np.searchsorted(chain, chain)) % 2 == 0]
+
+
 def _folded(code: int) -> tuple[int, ...]:
     text = "".join(map(chr, shown(code)))
     kept = [c for c in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(c)]

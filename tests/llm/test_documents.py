@@ -57,7 +57,7 @@ BASE = "The harbour dues of Ardvale were raised in March; nobody asked the small
 @pytest.mark.parametrize(
     "text",
     [BASE.upper(), BASE.replace(" ", "\n"), BASE.replace("islands", "is-\nlands"), re.sub(r"\bthe\b", "the (Hear, hear!)", BASE), BASE.replace("March", "Ｍarch"), re.sub("[,;.]", "", BASE),
-     BASE.replace("raised", "ráised"), BASE.replace("dues", "[Interruption.] dues"), BASE.replace("nobody", "*** inaudible *** nobody"), BASE.replace("a", "а"), BASE.replace("ferries", "boats")],
+     BASE.replace("raised", "ráised"), BASE.replace("dues", "[Interruption.] dues"), BASE.replace("dues", "— An hon. Member: What about the ferries? — dues").replace("asked", "– Mr. Dane: Shame! – asked"), BASE.replace("nobody", "*** inaudible *** nobody"), BASE.replace("a", "а"), BASE.replace("ferries", "boats")],
 )
 def test_the_way_it_is_written_makes_no_difference(spark, text):
     d = spark.createDataFrame([(1, f"Some words before. {text} And after.")], "doc_id long, text string")
@@ -324,7 +324,7 @@ def test_remarks_equal_plain():
     from palimpsest.llm.words import in_remarks
 
     rng = random.Random(12)
-    texts = ["".join(rng.choice("ab ()[]**") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [""]
+    texts = ["".join(rng.choice(["a", "b", " ", "(", ")", "[", "]", "*", "*", " — ", ":"]) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [""]
     codes, offsets, _ = to_codes(pa.array(texts))
     inside = in_remarks(codes, offsets)
     for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
@@ -333,5 +333,7 @@ def test_remarks_equal_plain():
             for m in re.finditer(pattern, text if "{2,}" in pattern else left):
                 plain[m.start() : m.end()] = [True] * (m.end() - m.start())
             left = re.sub(pattern, lambda m: "_" * len(m[0]), left)
+        for m in re.finditer(r"(?<![^ ])— [^—]*:[^—]*(?<= )—(?![^ ])", text):
+            plain[m.start() : m.end()] = [True] * (m.end() - m.start())
         letters = [i for i, c in enumerate(text) if c in "ab"]
         assert [inside[a + i] for i in letters] == [plain[i] for i in letters], text
