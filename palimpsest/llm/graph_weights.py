@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,18 +111,41 @@ def weigh_hits(hits: DataFrame, lengths: DataFrame, counts: DataFrame, total: Co
     return rows.select("path_id", "word", "count", "length", "n_paths", "degree", score.alias("score"))
 
 
+def _best_of_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of neighbouring rows of one record the `most` best; a run across two batches counts as two."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        record = batch.column(0)
+        fresh = np.ones(n, bool)
+        fresh[1:] = pc.fill_null(pc.not_equal(record[1:], record[:-1]), True).to_numpy(zero_copy_only=False)
+        run = np.cumsum(fresh)
+        order = pc.sort_indices(
+            pa.table({"run": run, "score": batch.column("score"), "term": batch.column("term")}),
+            sort_keys=[("run", "ascending"), ("score", "descending"), ("term", "ascending")],
+        ).to_numpy()
+        sorted_run = run[order]
+        place = np.arange(n) - np.searchsorted(sorted_run, sorted_run)
+        yield batch.take(pa.array(order[place < most]))
+
+
 def key_terms(records: DataFrame, record: str, tokens: str, most: int = 3, window: int = 4) -> DataFrame:
     """(record, place, term, degree, n_records, score): the `most` terms that mark each record best.
 
     score = degree * rarity; equal scores in order of the term. Records are
-    taken as they are: the same id twice is two records in one ranking.
+    taken as they are: the same id twice is two records in one ranking. Terms
+    of a record that stand together are cut down to the best before the
+    ranking shuffles them.
     """
     rows = records.select(record, F.col(tokens).cast("array<string>").alias("__tokens"))
-    total = rows.count()
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     held = rows.select(F.explode(F.array_distinct("__tokens")).alias("term")).where("term IS NOT NULL")
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
     weighed = term_degrees(rows, record, "__tokens", window).join(sized_broadcast(counts, 1_000_000), "term")
-    weighed = weighed.withColumn("score", F.round(F.col("degree") * rarity(F.col("n_records"), total), 6))
+    score = F.round(F.col("degree") * rarity(F.col("n_records"), total), 6)
+    weighed = weighed.select(record, "term", "degree", "n_records", score.alias("score"))
+    few = weighed.mapInArrow(lambda batches: _best_of_runs(batches, most), weighed.schema)
     best = Window.partitionBy(record).orderBy(F.desc("score"), "term")
-    ranked = weighed.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= most)
+    ranked = few.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= most)
     return ranked.select(record, "place", "term", "degree", "n_records", "score")
