@@ -279,50 +279,71 @@ def leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(documents, "doc_id", "text", items, "item_id", "text")
 
 
-@query()
-def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(spark, folder).select("doc_id", "item_id")
-
-
-@query()
-def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Each finding with its longest verbatim match and where that stands."""
-    return leaks(spark, folder)
-
-
-def _verbatim_sql() -> str:
-    """All stretches of 20 words that a document and an item have in common, by joining every one with every one."""
+def _word_lists_sql() -> str:
+    """CTEs d1 and q1(id, form, ws): folded words of documents and items, without remarks (form 0) and with them."""
     table = {c: parts for c, parts in replacements(_folded).items() if c < 0x2E80 or 0xFB00 <= c <= 0xFFEF}
-    bracket, star = "[(\\[][^()\\[\\]]*[)\\]]", "\\*{2,}[^*]*\\*{2,}"
     joined = "regexp_replace(text, '[-\u2010\u00ad][ \\t]*\\r?\\n[ \\t]*(\\p{Ll})', '\\1', 'g')"
-    bare = f"regexp_replace(regexp_replace(regexp_replace({joined}, '{bracket}', ' ', 'g'), '{bracket}', ' ', 'g'), '{star}', ' ', 'g')"
+    bare = joined
+    for remark in ("[(\\[][^()\\[\\]]*[)\\]]",) * 2 + ("\\*{2,}[^*]*\\*{2,}", " [–—] [^–—]*:[^–—]* [–—] "):
+        bare = f"regexp_replace({bare}, '{remark}', ' ', 'g')"
 
     def words(name: str, table_: str, key: str) -> str:
         return f"""{name}0 AS (SELECT {key} AS id, f, unnest([0, 1]) AS form, unnest([bare, f]) AS t FROM (SELECT DISTINCT {key}, {joined} AS f, {bare} AS bare FROM {table_} WHERE text IS NOT NULL)),
-{name}1 AS (SELECT id, form, list_filter(string_split({_mapped_sql("t", "m")}, ' '), lambda x: x <> '') AS ws FROM {name}0, m WHERE form = 0 OR t <> '' ),
-{name} AS (SELECT id, form, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT id, form, ws, unnest(range(1, len(ws) - 18)) AS i FROM {name}1 WHERE len(ws) >= 20))"""
+{name}1 AS (SELECT DISTINCT id, form, list_filter(string_split({_mapped_sql("t", "m")}, ' '), lambda x: x <> '') AS ws FROM {name}0, m)"""
+
+    return f"""m AS (SELECT {_map_sql(table)} AS m), {words("d", "documents", "doc_id")}, {words("q", "eval_items", "item_id")}"""
 
-    return f"""WITH m AS (SELECT {_map_sql(table)} AS m), {words("d", "documents", "doc_id")}, {words("q", "eval_items", "item_id")},
+
+def _verbatim_sql() -> str:
+    """All stretches of 20 words that a document and an item have in common, by joining every one with every one."""
+    grams = "SELECT id, form, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT id, form, ws, unnest(range(1, len(ws) - 18)) AS i FROM {}1 WHERE len(ws) >= 20)"
+    return f"""WITH {_word_lists_sql()}, d AS ({grams.format("d")}), q AS ({grams.format("q")}),
 met AS (SELECT DISTINCT d.id AS doc_id, d.form AS df, q.id AS item_id, q.form AS qf, d.i - q.i AS diagonal, d.i FROM d JOIN q ON d.s = q.s),
 runs AS (SELECT doc_id, item_id, i - row_number() OVER (PARTITION BY doc_id, df, item_id, qf, diagonal ORDER BY i) AS r, df, qf, diagonal FROM met),
 len AS (SELECT doc_id, item_id, count(*) + 19 AS n FROM runs GROUP BY doc_id, item_id, df, qf, diagonal, r)
 SELECT doc_id, item_id, max(n) AS longest FROM len GROUP BY ALL"""
 
 
+def _leaks_sql() -> str:
+    """Documents and items of which 18 of 20 words in a row are equal. Two exchanged words leave six in a row that are
+    equal; all of those are joined, and the words of each document and item so met are compared one by one."""
+    grams = "SELECT id, form, i, array_to_string(ws[i:i + 5], ' ') AS s FROM (SELECT id, form, ws, unnest(range(1, len(ws) - 4)) AS i FROM {}1 WHERE len(ws) >= 6)"
+    return f"""WITH {_word_lists_sql()}, d AS ({grams.format("d")}), q AS ({grams.format("q")}),
+met AS (SELECT DISTINCT d.id AS doc_id, d.form AS df, q.id AS item_id, q.form AS qf, d.i - q.i AS diagonal FROM d JOIN q ON d.s = q.s),
+near AS (SELECT doc_id, item_id, list_filter(range(1, len(q1.ws) + 1), lambda k: k + diagonal BETWEEN 1 AND len(d1.ws) AND d1.ws[k + diagonal] = q1.ws[k]) AS places
+         FROM met JOIN d1 ON d1.id = doc_id AND d1.form = df JOIN q1 ON q1.id = item_id AND q1.form = qf),
+found AS (SELECT doc_id, item_id, places FROM near WHERE list_bool_or(list_transform(range(1, len(places) - 16), lambda k: places[k + 17] - places[k] < 20)))"""
+
+
+@query(f"{_leaks_sql()} SELECT DISTINCT doc_id, item_id FROM found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(spark, folder).select("doc_id", "item_id")
+
+
+@query()
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each finding with its longest verbatim match and where that stands."""
+    return leaks(spark, folder)
+
+
 @query(_verbatim_sql())
 def p8_verbatim(spark: SparkSession, folder: str) -> DataFrame:
     """Findings that hold a stretch of 20 words as it is."""
     return leaks(spark, folder).where("longest >= 20").select("doc_id", "item_id", "longest")
 
 
-@query()
+@query(f"""{_leaks_sql()},
+r AS (SELECT item_id, doc_id, n, k - row_number() OVER (PARTITION BY n ORDER BY k) AS run
+      FROM (SELECT item_id, doc_id, n, unnest(places) AS k FROM (SELECT *, row_number() OVER () AS n FROM found))),
+longest AS (SELECT item_id, doc_id, n, run, count(*) AS words FROM r GROUP BY ALL)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(words) AS longest FROM longest GROUP BY item_id""")
 def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: the documents that hold it and its longest verbatim match."""
     found = leaks(spark, folder)
     return found.groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.max("longest").alias("longest"))
 
 
-@query()
+@query(f"{_leaks_sql()} SELECT doc_id, source FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM found)")
 def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents").select("doc_id", "source")
     return without_leaks(documents, "doc_id", leaks(spark, folder))
