@@ -65,7 +65,9 @@ class Engine:
             raise ValueError(f"mode: {mode}")
         # content is cut down to words before anything is shuffled
         rows = documents.where(F.col("path").isNotNull()).withColumn("__unread", F.col("content").isNull() & F.lit(retry))
-        all_ = checkpointed(tokenized_files(rows, self.tokenizer, "__unread").dropDuplicates(["path"]))
+        all_ = tokenized_files(rows, self.tokenizer, "__unread")
+        # a listing of a run has each path once, and its words stay where they were read
+        all_ = checkpointed(all_ if retry else all_.dropDuplicates(["path"]))
         tokenized, failed = all_.where("NOT __unread").drop("__unread"), all_.where("__unread").select("path")
         counters = corpus_counters(tokenized, "length").first()
         lost = failed.count() if retry else 0
