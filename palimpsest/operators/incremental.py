@@ -17,7 +17,6 @@ entry names the parts in force, so a run reads one entry and those parts.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -29,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from palimpsest.session import sized_broadcast, working_folder
-from palimpsest.store.lock import IndexLock
+from palimpsest.store.lock import IndexLock, link_or_copy
 
 STATE = ("length", "checksum")
 MANIFEST = T.StructType([
@@ -102,11 +101,7 @@ class FileStore:
             uri = self._path(name).toUri()
             if (uri.getScheme() or self._fs(name).getUri().getScheme()) == "file":
                 # renaming overwrites on local disks, a link doesn't
-                try:
-                    os.link(uri.getPath(), self._path(to).toUri().getPath())
-                except FileExistsError:
-                    return False
-                return True
+                return link_or_copy(uri.getPath(), self._path(to).toUri().getPath())
             try:
                 self._rename(name, to, "NONE")
             except Exception:

@@ -16,6 +16,30 @@ class LockTimeout(TimeoutError):
     pass
 
 
+def link_or_copy(source: str | Path, target: str | Path) -> bool:
+    """Makes `target` with what `source` holds, in one step. False where there is one already.
+
+    Where the file system has no links the file is made empty, by one taker
+    alone, and then filled.
+    """
+    try:
+        os.link(source, target)
+        return True
+    except FileExistsError:
+        return False
+    except FileNotFoundError:
+        raise
+    except OSError:
+        data = Path(source).read_bytes()
+        try:
+            handle = os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
+        except FileExistsError:
+            return False
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+        return True
+
+
 class LocalFiles:
     """The few things that a lock needs, in a folder of this machine."""
 
@@ -43,10 +67,7 @@ class LocalFiles:
     def move(self, name: str, to: str) -> bool:
         """Renames in one step. False, and `name` is gone, where `to` exists."""
         try:
-            os.link(self.root / name, self.root / to)
-            return True
-        except FileExistsError:
-            return False
+            return link_or_copy(self.root / name, self.root / to)
         finally:
             self.delete(name)
 

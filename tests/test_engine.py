@@ -289,3 +289,16 @@ def test_two_takers_of_a_leftover_lock(tmp_path):
     slow._stale = lambda text: True
     slow._remove_leftover()
     assert read(quick.path.name) == quick.mark and quick.held
+
+
+def test_locks_without_links(tmp_path, monkeypatch):
+    """On a file system that has none."""
+    monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(PermissionError("no links here")))
+    one, other = IndexLock(tmp_path, timeout=0), IndexLock(tmp_path, timeout=0)
+    with one, pytest.raises(LockTimeout):
+        other.acquire()
+    one.path.write_text("nobody")
+    os.utime(one.path, (0, 0))
+    with other:
+        assert one.status() == "taken"
+    assert os.listdir(tmp_path) == []
