@@ -47,6 +47,7 @@ ETA = 2.0  # how fast a size that is covered gets cheaper
 ITERATIONS = 128
 ROUNDED_AFTER = (1, 4, 16, 48, ITERATIONS)
 CLOSE = 0.002  # a packing this near to the bound will do
+PRICED = 128  # sizes that a step of the rounding prices at once
 BLOCK = 1024  # ranks that share a key of the join with the plan
 
 
@@ -115,33 +116,41 @@ def program(sizes: np.ndarray, need: np.ndarray, room: int) -> Iterator[Program]
 
 
 def _priced(sizes: np.ndarray, need: np.ndarray, room: int, prices: np.ndarray) -> list[list]:
-    """[filling, times] that pack `need`: again and again the filling that pays best, as often as half of what is left asks for it."""
+    """[filling, times] that pack `need`: again and again the filling that pays best, as often as half of what is left asks for it.
+
+    Of many sizes PRICED are priced at a time, the largest and others evenly below it.
+    """
     left, out = need.copy(), []
-    while left.any():
-        counts = best_filling(sizes, left, prices, room)
-        inside = counts > 0
-        most = int((left[inside] // counts[inside]).min())
-        times = max(1, most // 2)
+    while len(open_ := np.flatnonzero(left)):
+        if len(open_) > PRICED:
+            open_ = open_[np.unique(np.linspace(0, len(open_) - 1, PRICED).astype(np.int64))]
+        part = best_filling(sizes[open_], left[open_], prices[open_], room)
+        inside = part > 0
+        times = max(1, int((left[open_][inside] // part[inside]).min()) // 2)
+        counts = np.zeros(len(sizes), np.int64)
+        counts[open_] = part
         left = left - counts * times
         out.append([counts, times])
     return out
 
 
 def _best_fit(sizes: np.ndarray, need: np.ndarray, room: int) -> list[list]:
-    """[filling, times] that pack `need`, largest first, each where the least room stays."""
-    left = need.copy()
-    out: list[list] = []
-    while left.any():
-        counts, free = np.zeros(len(sizes), np.int64), room
-        for k in np.argsort(-sizes, kind="stable"):
-            n = int(min(left[k] - counts[k], free // sizes[k]))
-            if n > 0:
-                counts[k] += n
-                free -= n * int(sizes[k])
-        inside = counts > 0
-        times = int(np.min(left[inside] // counts[inside]))
-        left -= counts * times
+    """[filling, times] that pack `need`, largest first, each where the least room stays. `sizes` ascend."""
+    left, out = need.copy(), []
+    open_ = np.flatnonzero(left)
+    while len(open_):
+        some, free, below, taken = sizes[open_], room, len(open_), []
+        while (k := int(np.searchsorted(some[:below], free, "right")) - 1) >= 0:
+            n = min(int(left[open_[k]]), int(free // some[k]))
+            taken.append((int(open_[k]), n))
+            free, below = free - n * int(some[k]), k
+        times = min(int(left[k]) // n for k, n in taken)
+        counts = np.zeros(len(sizes), np.int64)
+        for k, n in taken:
+            counts[k] = n
+            left[k] -= n * times
         out.append([counts, times])
+        open_ = open_[left[open_] > 0]
     return out
 
 
