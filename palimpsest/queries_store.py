@@ -494,7 +494,7 @@ def store_empty(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, [row], "n_hits long, paths long, postings long, words long, version long, healthy boolean")
 
 
-@put(f"""WITH {_FILES} SELECT unnest([0, 1, 2]) AS line_no,
+@put(f"""WITH {_FILES} SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS line_no,
 unnest(['Indexed: version 1, ' || count(*) || ' paths.', 'No corruption found.', chr(10) || 'No results found.']) AS line FROM f WHERE {qi._WANTED}""")
 def cli_index_check_query(spark: SparkSession, folder: str) -> DataFrame:
     """Index, check and query by the command line, with a settings file whose root an option replaces."""
