@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palimpsest.session import sized_broadcast
+from palimpsest.session import checkpointed, sized_broadcast
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +136,10 @@ def key_terms(records: DataFrame, record: str, tokens: str, most: int = 3, windo
     score = degree * rarity; equal scores in order of the term. Records are
     taken as they are: the same id twice is two records in one ranking. Terms
     of a record that stand together are cut down to the best before the
-    ranking shuffles them.
+    ranking shuffles them. The records are checkpointed, since counts and
+    degrees both read them.
     """
-    rows = records.select(record, F.col(tokens).cast("array<string>").alias("__tokens"))
+    rows = checkpointed(records.select(record, F.col(tokens).cast("array<string>").alias("__tokens")))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     held = rows.select(F.explode(F.array_distinct("__tokens")).alias("term")).where("term IS NOT NULL")
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
