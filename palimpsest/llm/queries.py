@@ -310,9 +310,9 @@ def _leaks_sql() -> str:
     grams = "SELECT id, form, i, array_to_string(ws[i:i + 5], ' ') AS s FROM (SELECT id, form, ws, unnest(range(1, len(ws) - 4)) AS i FROM {}1 WHERE len(ws) >= 6)"
     return f"""WITH {_word_lists_sql()}, d AS ({grams.format("d")}), q AS ({grams.format("q")}),
 met AS (SELECT DISTINCT d.id AS doc_id, d.form AS df, q.id AS item_id, q.form AS qf, d.i - q.i AS diagonal FROM d JOIN q ON d.s = q.s),
-near AS (SELECT doc_id, item_id, list_filter(range(1, len(q1.ws) + 1), lambda k: k + diagonal BETWEEN 1 AND len(d1.ws) AND d1.ws[k + diagonal] = q1.ws[k]) AS places
+near AS (SELECT doc_id, item_id, diagonal, list_filter(range(1, len(q1.ws) + 1), lambda k: k + diagonal BETWEEN 1 AND len(d1.ws) AND d1.ws[k + diagonal] = q1.ws[k]) AS places
          FROM met JOIN d1 ON d1.id = doc_id AND d1.form = df JOIN q1 ON q1.id = item_id AND q1.form = qf),
-found AS (SELECT doc_id, item_id, places FROM near WHERE list_bool_or(list_transform(range(1, len(places) - 16), lambda k: places[k + 17] - places[k] < 20)))"""
+found AS (SELECT doc_id, item_id, diagonal, places FROM near WHERE list_bool_or(list_transform(range(1, len(places) - 16), lambda k: places[k + 17] - places[k] < 20)))"""
 
 
 @query(f"{_leaks_sql()} SELECT DISTINCT doc_id, item_id FROM found")
@@ -320,7 +320,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder).select("doc_id", "item_id")
 
 
-@query()
+#: CTE longest(item_id, doc_id, words, place, at): the runs of equal words of what _leaks_sql finds
+_RUNS_SQL = """r AS (SELECT item_id, doc_id, n, diagonal, k, k - row_number() OVER (PARTITION BY n ORDER BY k) AS run
+      FROM (SELECT item_id, doc_id, n, diagonal, unnest(places) AS k FROM (SELECT *, row_number() OVER () AS n FROM found))),
+longest AS (SELECT item_id, doc_id, count(*) AS words, min(k) + diagonal - 1 AS place, min(k) - 1 AS "at" FROM r GROUP BY item_id, doc_id, n, diagonal, run)"""
+
+
+@query(f"""{_leaks_sql()}, {_RUNS_SQL}
+SELECT doc_id, item_id, words AS longest, place AS doc_word, "at" AS item_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, place, "at") AS k FROM longest) WHERE k = 1""")
 def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Each finding with its longest verbatim match and where that stands."""
     return leaks(spark, folder)
@@ -332,10 +340,7 @@ def p8_verbatim(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder).where("longest >= 20").select("doc_id", "item_id", "longest")
 
 
-@query(f"""{_leaks_sql()},
-r AS (SELECT item_id, doc_id, n, k - row_number() OVER (PARTITION BY n ORDER BY k) AS run
-      FROM (SELECT item_id, doc_id, n, unnest(places) AS k FROM (SELECT *, row_number() OVER () AS n FROM found))),
-longest AS (SELECT item_id, doc_id, n, run, count(*) AS words FROM r GROUP BY ALL)
+@query(f"""{_leaks_sql()}, {_RUNS_SQL}
 SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(words) AS longest FROM longest GROUP BY item_id""")
 def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: the documents that hold it and its longest verbatim match."""
